@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules that each define QUERY, a name, and run(spark, sf_dir); ORACLE, SQL or None.
 MODULES = (
     "q01_warc",
+    "q02_quality",
     "q03_license",
     "q04_rules",
     "q08_mixing",
+    "q09_unigram",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
