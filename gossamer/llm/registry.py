@@ -16,6 +16,7 @@ MODULES = (
     "q07_partenum",
     "q08_mixing",
     "q09_unigram",
+    "q10_surrogates",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
