@@ -13,6 +13,7 @@ MODULES = (
     "q02_quality",
     "q03_license",
     "q04_rules",
+    "q05_toxicity",
     "q07_partenum",
     "q08_mixing",
     "q09_unigram",
