@@ -14,6 +14,7 @@ MODULES = (
     "q03_license",
     "q04_rules",
     "q05_toxicity",
+    "q06_ann",
     "q07_partenum",
     "q08_mixing",
     "q09_unigram",
