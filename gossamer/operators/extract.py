@@ -83,7 +83,8 @@ def _literal_norm_char(c: Column) -> Column:
 
 def _hits(haystack: Column, needle: Column) -> Column:
     """Starts of the matches of a literal, left to right, not overlapping."""
-    gaps = F.split(haystack, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # a literal may hold the end of a quotation
+    gaps = F.split(haystack, F.concat(F.lit("\\Q"), quoted, F.lit("\\E")), -1)
     return F.transform(
         F.sequence(F.lit(1), F.size(gaps) - 1),
         lambda i: _length(F.slice(gaps, F.lit(1), i)) + (i - 1) * F.length(needle),

@@ -5,6 +5,471 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions import predicates as is_
+from ..functions import text as T
+from ..operators import anonymize, compact, custom, extract, layout, review, spans
+from ..session import table
+from ..sources import pages as sources
+from . import oracles as O  # noqa: N812
+from . import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SCHEMA_SPAN = "doc_id string, ord long, category string, text string, start int, end int, confidence double, source string"
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """Matches of the portable patterns in order of arrival."""
+    raw = extract.pattern_spans(docs, P.portable())
+    return raw.withColumn("ord", F.col("ord").cast("long") * 10_000_000 + F.col("start"))
+
+
+def merged(docs: DataFrame) -> DataFrame:
+    return spans.merge_equivalent(spans.dedupe_exact(spans.sanitize(found(docs))))
+
+
+def chosen(docs: DataFrame) -> DataFrame:
+    return spans.non_overlapping(merged(docs))
+
+
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"))
+
+
+def inline(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# ---- extraction
+
+
+@query("hits_by_category", f"WITH {O.spans()} SELECT category, count(doc_id)::BIGINT AS n FROM {O.values([(c,) for c in P.CATEGORIES], 'category')} LEFT JOIN spans USING (category) GROUP BY category")
+def hits_by_category(spark, sf):
+    every = inline(spark, [(c,) for c in P.CATEGORIES], "category string")
+    counts = extract.pattern_spans(documents(spark, sf), P.portable()).groupBy("category").agg(F.count("*").alias("n"))
+    return every.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("hits_by_pattern", f"WITH {O.spans()} SELECT pattern, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM spans GROUP BY pattern")
+def hits_by_pattern(spark, sf):
+    return extract.pattern_spans(documents(spark, sf), P.portable()).groupBy("pattern").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("pii_spans", f"WITH {O.spans()} SELECT doc_id, pattern, category, text, a AS span_start, b AS span_end FROM spans")
+def pii_spans(spark, sf):
+    return placed(extract.pattern_spans(documents(spark, sf), P.portable()), "doc_id", "pattern", "category", "text")
+
+
+@query("page_secrets", "WITH src AS (SELECT page_id, html AS text FROM pages), " + O.spans("src", "page_id") + " SELECT doc_id AS page_id, pattern, text, a AS span_start, b AS span_end FROM spans WHERE category IN ('secret', 'account_number')")
+def page_secrets(spark, sf):
+    docs = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    rows = [r for r in P.portable() if r[2] in ("secret", "account_number")]
+    return placed(extract.pattern_spans(docs, rows).withColumnRenamed("doc_id", "page_id"), "page_id", "pattern", "text")
+
+
+@query("detect_all_patterns")
+def detect_all_patterns(spark, sf):
+    """Every pattern, those with looks around too."""
+    return extract.pattern_spans(documents(spark, sf)).groupBy("pattern", "category").agg(F.count("*").alias("n"))
+
+
+_LABELED = [("invoice", "bic_labeled", "BYLADEM1001"), ("invoice", "kundennummer_labeled", "440017"), ("invoice", "vertragsnummer_labeled", "VX-2031-77"), ("invoice", "vorgangsnummer_labeled", "9900121"), ("invoice", "zaehlernummer_labeled", "5520098")]
+
+
+@query("labeled_identifiers", f"SELECT * FROM {O.values(_LABELED, 'doc_id, pattern, text')}")
+def labeled_identifiers(spark, sf):
+    return extract.pattern_spans(inline(spark, samples.TEXTS, "doc_id string, text string")).filter(F.col("pattern").endswith("_labeled")).select("doc_id", "pattern", "text")
+
+
+@query(
+    "pii_density_by_lang_source",
+    f"WITH {O.spans()}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) "
+    "SELECT lang, source, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, sum(coalesce(n, 0))::BIGINT AS spans, round(10000.0::DOUBLE * sum(coalesce(n, 0)) / sum(length(text)), 6)::DOUBLE AS density "
+    "FROM documents LEFT JOIN n USING (doc_id) GROUP BY lang, source",
+)
+def pii_density_by_lang_source(spark, sf):
+    docs = table(spark, sf, "documents")
+    n = extract.pattern_spans(docs.select("doc_id", "text"), P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    out = docs.select("doc_id", "lang", "source", F.length("text").alias("c")).join(n, "doc_id", "left").groupBy("lang", "source")
+    out = out.agg(F.count("*").alias("docs"), F.sum("c").cast("long").alias("chars"), F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("spans"))
+    return out.withColumn("density", F.round(F.lit(10000.0) * F.col("spans") / F.col("chars"), 6))
+
+
+@query(
+    "pii_vs_quality_labels",
+    f"WITH {O.spans()}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) SELECT quality, toxic, count(*)::BIGINT AS docs, count(n)::BIGINT AS docs_with_pii, coalesce(sum(n), 0)::BIGINT AS spans FROM documents JOIN labels USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY quality, toxic",
+)
+def pii_vs_quality_labels(spark, sf):
+    docs = documents(spark, sf)
+    n = extract.pattern_spans(docs, P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    joined = table(spark, sf, "labels").join(docs.select("doc_id"), "doc_id").join(n, "doc_id", "left")
+    return joined.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.count("n").alias("docs_with_pii"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("spans"))
+
+
+# ---- algebra
+
+
+@query("sanitized_spans", f"WITH {O.spans()}, {O.judged()} SELECT doc_id, pattern, category, text, a AS span_start, b AS span_end, reason AS drop_reason FROM judged")
+def sanitized_spans(spark, sf):
+    return placed(spans.judged(found(documents(spark, sf))), "doc_id", "pattern", "category", "text", "drop_reason")
+
+
+@query("sanitize_drop_reasons", f"SELECT id::BIGINT AS id, {O.drop_reason('category', 'text', 'source')} AS drop_reason FROM {O.values(samples.SNIPPETS, 'id, category, text, source')}")
+def sanitize_drop_reasons(spark, sf):
+    rows = inline(spark, samples.SNIPPETS, "id long, category string, text string, source string")
+    return rows.select("id", spans.drop_reason(F.col("category"), F.col("text"), F.col("source")).alias("drop_reason"))
+
+
+_FLAGS = {"postal": is_.postal_city, "street": is_.street, "block": is_.address_block, "organization": is_.organization, "company": is_.company_block, "tail": is_.contact_tail, "honorific": is_.honorific_street}
+_FLAGS |= {"nameish": is_.nameish, "tax": is_.tax_header, "noise": is_.noise, "city": is_.bare_city, "person_tail": is_.person_tail}
+
+
+@query("predicate_flags", f"SELECT id::BIGINT AS id, {', '.join(f'{O.predicate(n, "text")} AS {n}' for n in _FLAGS)} FROM {O.values(samples.SNIPPETS, 'id, category, text, source')}")
+def predicate_flags(spark, sf):
+    rows = inline(spark, samples.SNIPPETS, "id long, category string, text string, source string")
+    return rows.select("id", *[f(F.col("text")).alias(n) for n, f in _FLAGS.items()])
+
+
+@query("merged_spans", f"WITH {O.spans()}, {O.judged()}, {O.merged()} SELECT doc_id, pattern, category, text, a AS span_start, b AS span_end FROM merged")
+def merged_spans(spark, sf):
+    return placed(merged(documents(spark, sf)), "doc_id", "pattern", "category", "text")
+
+
+_SPANS = [
+    ("a", 0, "custom_identifier", "Holm", 5, 9, 1.0, "pattern"),
+    ("a", 1, "private_person", "Vera Holm", 0, 9, 0.8, "model"),
+    ("a", 2, "private_person", "vera holm", 0, 9, 0.99, "pattern"),
+    ("a", 3, "custom_identifier", "weg 7", 30, 35, 1.0, "pattern"),
+    ("a", 4, "custom_identifier", "Eichenweg 7", 24, 35, 1.0, "pattern"),
+    ("a", 5, "custom_identifier", "abcd", 40, 44, 1.0, "pattern"),
+    ("a", 6, "secret", "bcdefgh", 41, 48, 0.99, "pattern"),
+    ("b", 0, "custom_identifier", "abcd", 40, 44, 1.0, "pattern"),
+    ("b", 1, "custom_identifier", "xxxxx", 41, 46, 1.0, "pattern"),
+    ("b", 2, "custom_identifier", "abcd", 40, 44, 1.0, "pattern"),
+]
+_KEPT = [("a", "private_person", "Vera Holm", 0, 9, 0.99, "mixed"), ("a", "custom_identifier", "Eichenweg 7", 24, 35, 1.0, "pattern"), ("a", "secret", "bcdefgh", 41, 48, 0.99, "pattern"), ("b", "custom_identifier", "abcd", 40, 44, 1.0, "pattern"), ("b", "custom_identifier", "xxxxx", 41, 46, 1.0, "pattern")]
+
+
+@query("custom_containment", f"SELECT doc_id, category, text, a::BIGINT AS span_start, b::BIGINT AS span_end, c::DOUBLE AS confidence, source FROM {O.values(_KEPT, 'doc_id, category, text, a, b, c, source')}")
+def custom_containment(spark, sf):
+    return placed(spans.post_process(inline(spark, _SPANS, SCHEMA_SPAN)), "doc_id", "category", "text", "confidence", "source")
+
+
+_BEFORE = f"{O.spans()}, {O.judged()}, {O.merged()}, {O.selected()}"
+
+
+@query("nonoverlap_selection", f"WITH RECURSIVE {_BEFORE} SELECT doc_id, pattern, category, text, a AS span_start, b AS span_end FROM selected")
+def nonoverlap_selection(spark, sf):
+    return placed(chosen(documents(spark, sf)), "doc_id", "pattern", "category", "text")
+
+
+# ---- placeholders
+
+
+@query("placeholder_mapping", f"WITH RECURSIVE {_BEFORE}, {O.placed()} SELECT DISTINCT doc_id, placeholder, original FROM placed")
+def placeholder_mapping(spark, sf):
+    return anonymize.placeholder_mapping(chosen(documents(spark, sf)))
+
+
+@query("anonymized_text", f"WITH RECURSIVE {_BEFORE}, {O.placed()}, {O.rebuilt('placeholder')} SELECT doc_id, coalesce(made, text) AS anonymized_text, coalesce(n, 0)::BIGINT AS replacement_count FROM documents LEFT JOIN rebuilt USING (doc_id)")
+def anonymized_text(spark, sf):
+    docs = documents(spark, sf)
+    return anonymize.anonymize(docs, chosen(docs)).select("doc_id", "anonymized_text", "replacement_count")
+
+
+@query("restore_roundtrip", f"WITH RECURSIVE {_BEFORE}, {O.placed()}, {O.rebuilt('original')} SELECT doc_id, made AS restored_text, n::BIGINT AS replacement_count, 0::BIGINT AS unresolved FROM rebuilt")
+def restore_roundtrip(spark, sf):
+    docs = documents(spark, sf)
+    made = anonymize.anonymize(docs, chosen(docs)).filter("replacement_count > 0")
+    back = made.select("doc_id", anonymize.restore(F.col("anonymized_text"), F.col("placeholders")).alias("r"))
+    return back.select("doc_id", "r.restored_text", F.col("r.replacement_count").cast("long").alias("replacement_count"), F.size("r.unresolved").cast("long").alias("unresolved"))
+
+
+_ANSWERS = [(1, "Dear [name_1], write to EMAIL-1 or [ EMAIL 2 ]."), (2, "nothing here"), (3, "Name_1 and name 1 and [STRASSE_9]")]
+_RESTORED = [(1, "Dear Vera Holm, write toa$b@example.orgor [ EMAIL 2 ].", 2, ""), (2, "nothing here", 0, ""), (3, "Vera HolmandVera Holmand [STRASSE_9]", 2, "")]
+
+
+@query("restore_answers", f"SELECT id::BIGINT AS id, restored_text, n::BIGINT AS replacement_count, suspicious FROM {O.values(_RESTORED, 'id, restored_text, n, suspicious')}")
+def restore_answers(spark, sf):
+    rows = inline(spark, _ANSWERS, "id long, text string").withColumn("map", F.create_map(F.lit("[NAME_1]"), F.lit("Vera Holm"), F.lit("[EMAIL_1]"), F.lit("a$b@example.org")))
+    done = rows.select("id", "map", anonymize.restore(F.col("text"), F.col("map")).alias("r"))
+    return done.select("id", "r.restored_text", F.col("r.replacement_count").cast("long").alias("replacement_count"), F.array_join(anonymize.suspicious_tokens(F.col("r.restored_text"), F.col("map")), "|").alias("suspicious"))
+
+
+_BASES = [("private_person", "NAME"), ("secret", "GEHEIM"), ("private_Führerschein nr.", "FUHRERSCHEIN_NR"), ("__", "PII"), ("account_number", "NUMMER")]
+
+
+@query("placeholder_bases", f"SELECT * FROM {O.values(_BASES, 'category, base')}")
+def placeholder_bases(spark, sf):
+    rows = inline(spark, [(c,) for c, _ in _BASES], "category string")
+    return rows.select("category", anonymize.placeholder_base(F.col("category")).alias("base"))
+
+
+# ---- normalisation
+
+
+@query("native_normalize", "SELECT doc_id, replace(text, ' / ', chr(10)) AS normalized, length(replace(text, ' / ', chr(10)))::BIGINT AS n FROM documents")
+def native_normalize(spark, sf):
+    return documents(spark, sf).select("doc_id", T.normalize_native(F.col("text")).alias("normalized"), F.length(T.normalize_native(F.col("text"))).cast("long").alias("n"))
+
+
+_JOINED = [(1, "MaxHolm"), (2, "Tel0341\n5512"), (3, "12 . 03 . 2021 und 4 , 50"), (4, "nothing to do"), (5, "a\nb\nc"), (6, "Ort: 39104")]
+
+
+@query("ocr_normalize", f"SELECT id::BIGINT AS id, normalized, length(normalized)::BIGINT AS mapped FROM {O.values(_JOINED, 'id, normalized')}")
+def ocr_normalize(spark, sf):
+    rows = inline(spark, samples.OCR, "id long, text string")
+    return rows.select("id", T.normalize_ocr(F.col("text")).alias("normalized"), F.size(T.offset_map(F.col("text"), ocr=True)).cast("long").alias("mapped"))
+
+
+_RANGES = [(2, 3, 7, "0 3 4 1"), (2, 8, 12, "55 12"), (6, 5, 10, "3 9104"), (5, 2, 3, "b"), (1, 0, 3, "M a x")]
+
+
+@query("offset_translate", f"SELECT id::BIGINT AS id, original FROM {O.values([(a, d) for a, _, _, d in _RANGES], 'id, original')}")
+def offset_translate(spark, sf):
+    rows = inline(spark, samples.OCR, "id long, text string").join(inline(spark, [r[:3] for r in _RANGES], "id long, s int, e int"), "id")
+    where = T.translate_range(F.col("s"), F.col("e"), T.offset_map(F.col("text"), ocr=True), F.length("text"))
+    return rows.withColumn("r", where).select("id", F.substr("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("original"))
+
+
+_PAGES = [(1, "A plain page of text.", "A plain page"), (2, "", "seen"), (3, "a b c d e f g h i", "abcdefghi"), (4, "  ", None), (5, "x^ y^ 1 2 3 4 z", ""), (6, None, " ")]
+_CHOSEN = [(1, "native"), (2, "ocr"), (3, "ocr"), (4, None), (5, "native"), (6, None)]
+
+
+@query("page_text_choice", f"SELECT id::BIGINT AS id, source FROM {O.values(_CHOSEN, 'id, source')}")
+def page_text_choice(spark, sf):
+    return inline(spark, _PAGES, "id long, own string, seen string").select("id", T.choose_text(F.col("own"), F.col("seen"))["source"].alias("source"))
+
+
+@query("folded_text", f"SELECT doc_id, length({O.comparable('text')})::BIGINT AS n, md5({O.comparable('text')}) AS digest FROM documents")
+def folded_text(spark, sf):
+    key = T.comparable(F.col("text"))
+    return documents(spark, sf).select("doc_id", F.length(key).cast("long").alias("n"), F.md5(key.cast("binary")).alias("digest"))
+
+
+# ---- layout
+
+
+_LINES = "lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), parts AS (SELECT doc_id, len(l) AS n, l, unnest(range(1, len(l) + 1)) AS i FROM lines), "
+_LINES += "placed_lines AS (SELECT doc_id, n, (i - 1)::BIGINT AS line_no, (coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0))::BIGINT AS line_start, length(l[i]) AS size FROM parts)"
+
+
+@query("line_offsets", f"WITH {_LINES} SELECT doc_id, line_no, line_start, line_start + size AS line_end FROM placed_lines")
+def line_offsets(spark, sf):
+    return layout.text_lines(documents(spark, sf)).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line_no", "line_start", "line_end")])
+
+
+@query(
+    "span_line_boxes",
+    f"WITH {O.spans()}, {_LINES} SELECT s.doc_id, s.pattern, s.a AS span_start, s.b AS span_end, line_no, (greatest(s.a, line_start) - line_start) * 6.0::DOUBLE AS x, (n - 1 - line_no) * 14.0::DOUBLE AS y, "
+    "(least(s.b, line_start + size) - greatest(s.a, line_start)) * 6.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM spans s JOIN placed_lines l USING (doc_id) WHERE greatest(s.a, line_start) < least(s.b, line_start + size)",
+)
+def span_line_boxes(spark, sf):
+    docs = documents(spark, sf)
+    hits = extract.pattern_spans(docs, P.portable())
+    lines = layout.text_lines(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return placed(layout.span_boxes(hits, lines).withColumn("line_no", F.col("line_no").cast("long")), "doc_id", "pattern", "line_no", "rect.x", "rect.y", "rect.w", "rect.h")
+
+
+_HEADS = [("invoice", "04109 Lindenau", "sender"), ("invoice", "39104 Buchental", None), ("notice", "04109 Lindenau", "header"), ("notice", "39104 Buchental", "header"), ("letter", "39104 Buchental", None)]
+
+
+@query("header_context", f"SELECT * FROM {O.values(_HEADS, 'doc_id, text, reason')}")
+def header_context(spark, sf):
+    texts = inline(spark, samples.TEXTS, "doc_id string, page string").join(inline(spark, [h[:2] for h in _HEADS], "doc_id string, text string"), "doc_id")
+    return texts.select("doc_id", "text", layout.header_reason(F.lit("private_address"), F.col("text"), F.col("page")).alias("reason"))
+
+
+_DRAWN = [(1, 9.0, 18.0, 22.0, 14.0), (2, 0.0, 92.5, 31.0, 7.5), (3, None, None, None, None)]
+
+
+@query("display_rects", f"SELECT id::BIGINT AS id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h FROM {O.values(_DRAWN, 'id, x, y, w, h')}")
+def display_rects(spark, sf):
+    rect = "struct<x:double,y:double,w:double,h:double>"
+    rows = inline(spark, [(1, (10.0, 20.0, 20.0, 10.0)), (2, (0.0, 95.0, 30.0, 7.0)), (3, (300.0, 0.0, 5.0, 5.0))], f"id long, r {rect}")
+    media = F.struct(*[F.lit(v).alias(k) for k, v in (("x", 0.0), ("y", 0.0), ("w", 100.0), ("h", 100.0))])
+    return rows.withColumn("d", layout.display_rect(F.col("r"), media)).select("id", "d.x", "d.y", "d.w", "d.h")
+
+
+# ---- review
+
+
+_REASONS = [("a", 0, None), ("a", 1, None), ("a", 2, None), ("a", 3, None), ("a", 4, None), ("a", 5, None), ("a", 6, "R10"), ("a", 7, "R8"), ("a", 8, "R4"), ("a", 9, "R1"), ("b", 0, None), ("b", 1, None)]
+CANDIDATE = "doc_id string, page_index int, ord int, category string, snippet string, source string, confidence double, rects array<struct<x:double,y:double,w:double,h:double>>"
+
+
+@query("redundant_candidates", f"SELECT doc_id, ord::BIGINT AS ord, reason FROM {O.values(_REASONS, 'doc_id, ord, reason')}")
+def redundant_candidates(spark, sf):
+    rows = [r for r in samples.CANDIDATES if r[1] != 1]
+    return compact.redundant_reason(inline(spark, rows, CANDIDATE)).select("doc_id", F.col("ord").cast("long").alias("ord"), "reason")
+
+
+_FINDINGS = [
+    ("a", 0, "Adressblock", "Vera Holm\nEichenweg 7\n39104 Buchental", "mixed", 0.99, 3),
+    ("a", 0, "Kontakt", "vera.holm@example.org\n+49 391 555 0199", "pattern", 0.99, 2),
+    ("a", 0, "account_number", "DE02120300000000202051", "pattern", 0.99, 1),
+    ("b", None, "Adresse", "Jan Falk", "model", 0.7, 1),
+    ("b", None, "Adresse", "Jan Falk", "pattern", 0.99, 1),
+    ("b", 1, "Adresse", "Jan Falk", "model", 0.7, 1),
+]
+
+
+@query("compact_findings", f"SELECT doc_id, page::BIGINT AS page_index, category, snippet, source, c::DOUBLE AS confidence, n::BIGINT AS n_rects FROM {O.values(_FINDINGS, 'doc_id, page, category, snippet, source, c, n')}")
+def compact_findings(spark, sf):
+    made = compact.compact(inline(spark, samples.CANDIDATES, CANDIDATE))
+    return made.select("doc_id", F.col("page_index").cast("long").alias("page_index"), "category", "snippet", "source", "confidence", F.size("rects").cast("long").alias("n_rects"))
+
+
+_ACTION = "CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'reject' WHEN 'view' THEN 'open' ELSE 'remove' END"
+
+
+@query(
+    "review_status_counts",
+    f"WITH log AS (SELECT event_id % 700 AS finding_id, event_id AS seq, {_ACTION} AS action FROM events), decided AS (SELECT finding_id, arg_min(action, seq) AS a FROM log WHERE action <> 'open' GROUP BY finding_id), "
+    "state AS (SELECT CASE a WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'remove' THEN 'rejected' ELSE 'pending' END AS status FROM range(1000) f(finding_id) LEFT JOIN decided USING (finding_id)) "
+    "SELECT s.status, count(state.status)::BIGINT AS n FROM (VALUES ('pending'), ('accepted'), ('rejected')) s(status) LEFT JOIN state USING (status) GROUP BY s.status",
+)
+def review_status_counts(spark, sf):
+    log = table(spark, sf, "events").select((F.col("event_id") % 700).alias("finding_id"), F.col("event_id").alias("seq"), F.expr(_ACTION).alias("action"))
+    return review.status_counts(review.review_status(spark.range(1000).withColumnRenamed("id", "finding_id"), log))
+
+
+@query(
+    "mru_top8",
+    "WITH opened AS (SELECT user_id % 20 AS owner, 'doc-' || (event_id % 37) || '.pdf' AS path, max(ts) AS added_at FROM events GROUP BY 1, 2) "
+    "SELECT owner, path, row_number() OVER (PARTITION BY owner ORDER BY added_at DESC, path)::BIGINT AS rank FROM opened QUALIFY rank <= 8",
+)
+def mru_top8(spark, sf):
+    rows = table(spark, sf, "events").select((F.col("user_id") % 20).alias("owner"), F.concat(F.lit("doc-"), (F.col("event_id") % 37).cast("string"), F.lit(".pdf")).alias("path"), F.col("ts").alias("added_at"))
+    return review.recents(rows, 8, "owner").select("owner", "path", "rank")
+
+
+_KWIC = "licensed under"
+
+
+@query(
+    "keyword_in_context",
+    f"WITH cut AS (SELECT doc_id, text, string_split({O.fold('text')}, '{_KWIC}') AS g FROM documents WHERE contains({O.fold('text')}, '{_KWIC}')), hits AS (SELECT *, unnest(range(1, least(len(g) - 1, 6) + 1)) AS i FROM cut), "
+    f"s AS (SELECT doc_id, text, i, (list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * {len(_KWIC)})::BIGINT AS s FROM hits) "
+    f"SELECT doc_id, 'text' AS section, (i - 1)::BIGINT AS \"at\", (CASE WHEN s > 28 THEN '…' ELSE '' END) || substr(text, greatest(0, s - 28) + 1, least(length(text), s + {len(_KWIC)} + 28) - greatest(0, s - 28)) || (CASE WHEN s + {len(_KWIC)} + 28 < length(text) THEN '…' ELSE '' END) AS snippet FROM s",
+)
+def keyword_in_context(spark, sf):
+    return review.keyword_in_context(documents(spark, sf), _KWIC)
+
+
+@query(
+    "diagnostics_report",
+    f"WITH {O.spans()}, {O.judged()}, {O.merged()} SELECT doc_id, string_agg('[pattern] ' || category || ' · ' || text || ' · ' || a || '-' || b || ' · 99%', chr(10) ORDER BY a, b, '[pattern] ' || category || ' · ' || text) AS report FROM merged GROUP BY doc_id",
+)
+def diagnostics_report(spark, sf):
+    return review.report(merged(documents(spark, sf)))
+
+
+@query(
+    "manifest_paths",
+    "WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/' || url WHEN 1 THEN regexp_replace(url, '^https?://', '') WHEN 2 THEN './a//' || regexp_replace(url, '^https?://', '') ELSE 'x/../' || url END AS raw FROM pages), "
+    "s AS (SELECT page_id, raw, string_split(replace(trim(raw), chr(92), '/'), '/') AS parts FROM p) "
+    "SELECT page_id, CASE WHEN raw[1] = '/' THEN 'absolute' WHEN list_contains(parts, '..') THEN 'climbs' END AS error, "
+    "CASE WHEN raw[1] = '/' OR list_contains(parts, '..') THEN NULL ELSE array_to_string(list_filter(parts, lambda x: x <> '' AND x <> '.'), '/') END AS path FROM s",
+)
+def manifest_paths(spark, sf):
+    bare = F.regexp_replace("url", "^https?://", "")
+    which = F.col("page_id") % 4
+    raw = F.when(which == 0, F.concat(F.lit("/"), "url")).when(which == 1, bare).when(which == 2, F.concat(F.lit("./a//"), bare)).otherwise(F.concat(F.lit("x/../"), "url"))
+    return table(spark, sf, "pages").select("page_id", review.manifest_path(raw).alias("m")).select("page_id", "m.error", "m.path")
+
+
+@query(
+    "download_progress",
+    "SELECT o_orderpriority AS model, o_orderkey AS at, sum(o_custkey) OVER w::BIGINT AS done FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
+)
+def download_progress(spark, sf):
+    parts = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("at"), F.col("o_custkey").alias("bytes"))
+    return review.download_progress(parts).select("model", "at", "done")
+
+
+_NAMES = [("scan.final.pdf", "pdf", "scan.final-geschwaerzt.pdf"), ("", "png", "bild-geschwaerzt.png"), (None, "png", "bild-geschwaerzt.png"), ("photo", "png", "photo-geschwaerzt.png")]
+
+
+@query("save_names", f"SELECT * FROM {O.values([(n, s) for n, _, s in _NAMES], 'name, saved')}")
+def save_names(spark, sf):
+    return inline(spark, [n[:2] for n in _NAMES], "name string, ending string").select("name", T.save_name(F.col("name"), "bild", F.col("ending")).alias("saved"))
+
+
+@query("file_kinds", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' END AS kind FROM pages")
+def file_kinds(spark, sf):
+    ending = F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".jpeg").otherwise(".txt")
+    return table(spark, sf, "pages").select("page_id", review.file_kind(F.concat("url", ending)).alias("kind"))
+
+
+@query("clipboard_text", r"SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 'empty' END AS error FROM conversations")
+def clipboard_text(spark, sf):
+    return sources.clipboard(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+
+
+# ---- custom literals
+
+
+_EXPANDED = [
+    (0, "Adresse", "Eichenweg 7, 39104 Buchental", "custom_identifier"),
+    (0, "Adresse – Teil", "Eichenweg 7", "custom_identifier"),
+    (0, "Adresse – Teil", "39104 Buchental", "custom_identifier"),
+    (0, "Adresse – Block", "Eichenweg 7 39104 Buchental", "custom_identifier"),
+    (1, "Name", "Vera Holm", "private_person"),
+    (2, "NAME", "vera holm", "private_person"),
+    (3, "Adresse – Teil", "eichenweg 7", "custom_identifier"),
+]
+LITERAL = "ord long, label string, value string, category string"
+
+
+@query("custom_pattern_expand", f"SELECT ord::BIGINT AS ord, label, value, category FROM {O.values(_EXPANDED, 'ord, label, value, category')}")
+def custom_pattern_expand(spark, sf):
+    return custom.expand(inline(spark, samples.LITERALS, LITERAL)).drop("at")
+
+
+_OWN = [(0, "Name", "Vera Holm", "private_person"), (1, "Haus", "Eichenweg 7", "custom_identifier")]
+_AFTER = [*_OWN, (2, "Adresse", "Eichenweg 7, 39104 Buchental", "custom_identifier"), (5, "Adresse – Teil", "eichenweg 7", "custom_identifier")]
+
+
+@query("custom_pattern_import", f"SELECT ord::BIGINT AS ord, label, value, category FROM {O.values(_AFTER, 'ord, label, value, category')}")
+def custom_pattern_import(spark, sf):
+    return custom.import_rows(inline(spark, _OWN, LITERAL), inline(spark, samples.LITERALS, LITERAL))
+
+
+_ONCE = [(0, "Adresse", "Eichenweg 7, 39104 Buchental", "custom_identifier"), (1, "Name", "Vera Holm", "private_person"), (3, "Adresse – Teil", "eichenweg 7", "custom_identifier")]
+
+
+@query("custom_pattern_dedupe", f"SELECT ord::BIGINT AS ord, label, value, category FROM {O.values(_ONCE, 'ord, label, value, category')}")
+def custom_pattern_dedupe(spark, sf):
+    return custom.dedupe(custom.normalized(inline(spark, samples.LITERALS, LITERAL)))
+
+
+_WORDS = ["MIT License", "cc by-nc", "General Public"]
+
+
+@query(
+    "custom_literal_spans",
+    f"WITH w AS (SELECT * FROM {O.values([(w,) for w in _WORDS], 'needle')}), hit AS (SELECT doc_id, text, needle, string_split(lower(text), lower(needle)) AS g FROM documents JOIN w ON contains(lower(text), lower(needle))), "
+    "hits AS (SELECT *, unnest(range(1, len(g))) AS i FROM hit), s AS (SELECT doc_id, text, needle, (list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(needle))::BIGINT AS s FROM hits) "
+    "SELECT doc_id, substr(text, s + 1, length(needle)) AS text, s AS span_start, s + length(needle) AS span_end FROM s",
+)
+def custom_literal_spans(spark, sf):
+    words = inline(spark, [("w", w, None) for w in _WORDS], "label string, value string, category string")
+    return placed(extract.literal_spans(documents(spark, sf), words), "doc_id", "text")
