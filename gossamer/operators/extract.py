@@ -69,7 +69,7 @@ def distinct_literals(customs: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n")
 
 
-def _char_map(text: Column, keep_char, width) -> tuple[Column, Column]:
+def _char_map(text: Column, keep_char) -> tuple[Column, Column]:
     """The text rewritten character by character, and for each character written the index it came from."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     written = F.transform(chars, keep_char)
@@ -105,8 +105,8 @@ def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = (
     looked = text.withColumn("_compact", F.regexp_replace(F.replace(fold(F.col("text")), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", ""))
     pair = looked.join(wanted, F.contains(F.lower("text"), F.lower("needle")) | F.contains("_compact", "compact2") | ((F.col("compact") != "") & F.contains("_compact", "compact")))
     one = F.when(F.contains(F.lower("text"), F.lower("needle")), F.transform(_hits(F.lower("text"), F.lower("needle")), lambda s: F.struct(s.alias("s"), (s + F.length("needle")).alias("e"))))
-    spaced, where = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"\s"), " ").otherwise(_literal_norm_char(c)), None)
-    bare, where_bare = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), _literal_norm_char(c)).otherwise(""), None)
+    spaced, where = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"\s"), " ").otherwise(_literal_norm_char(c)))
+    bare, where_bare = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), _literal_norm_char(c)).otherwise(""))
 
     def mapped(found: Column, size: Column, at: Column) -> Column:
         return F.transform(found, lambda s: F.struct(F.get(at, s).alias("s"), (F.get(at, s + size - 1) + 1).alias("e")))
