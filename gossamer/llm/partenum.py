@@ -37,8 +37,9 @@ WORDS, NUM, DEN = 5, 80, 100
 FILL, SPARE = 3.2, 4
 BUCKETS = 64
 #: A shingle is frequent if so large a part of all documents hold it. At most (mean set size / FREQUENT) are.
-FREQUENT = 0.004
-MAX_ROUNDS = 12
+FREQUENT = 0.001
+#: Rounds against leaders end when fewer pairs a row are left than this, or a round took away less than half.
+FEW_PAIRS, MAX_ROUNDS = 4, 12
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -137,7 +138,7 @@ def sketch(s: np.ndarray) -> bytes:
 def frequent_shingles(docs: DataFrame, part: float = FREQUENT) -> np.ndarray:
     """Shingles that about ``part`` of all documents or more hold, sorted; only a hint for the order of partitions.
 
-    Every batch of every task gives the shingles that half that part of it holds, with
+    Every batch of every task gives the shingles that about that part of it holds, with
     counts; their sums are compared with the number of all documents. So the result's
     size is bounded by the mean size of a set, not by the number of documents.
     """
@@ -147,7 +148,7 @@ def frequent_shingles(docs: DataFrame, part: float = FREQUENT) -> np.ndarray:
 
         def told() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, part / 2 * rows)
+            often = n >= max(3, 0.75 * part * rows)
             return pa.RecordBatch.from_arrays([pa.array(np.append(h[often].view(np.int64), 0)), pa.array(np.append(n[often], rows)), pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["h", "n", "docs"])
 
         size = 0
@@ -203,7 +204,12 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that sizes and sketches don't rule out."""
     about = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    rows = pairs.join(about("a"), "a").join(about("b"), "b").filter((F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM))
+    return near(pairs.join(about("a"), "a").join(about("b"), "b"))
+
+
+def near(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows with sizes n_a, n_b and sketches s_a, s_b that don't rule the pair out."""
+    rows = rows.filter((F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +217,8 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
                 grid = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
                 apart = np.abs(grid(sa) - grid(sb)).sum(1)
-                near = apart * (DEN + NUM) <= (na.to_numpy() + nb.to_numpy()) * (DEN - NUM)
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near))
+                keep = apart * (DEN + NUM) <= (na.to_numpy() + nb.to_numpy()) * (DEN - NUM)
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(task, "a long, b long")
 
@@ -261,7 +267,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     by_sig = W.partitionBy("sig")
     met = signed.withColumns({"low": F.min("cls").over(by_sig), "top": F.max("cls").over(by_sig)}).filter("low <> top").select("sig", "cls").distinct()
     groups = cut(met, "signature-groups")
-    roots, tried, last = components(links), None, False
+    roots, tried, last, before = components(links), None, False, None
     for number in range(MAX_ROUNDS):
         rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
         spanning = rooted.withColumns({"low": F.min("root").over(by_sig), "top": F.max("root").over(by_sig)}).filter("low <> top").drop("low", "top")
@@ -271,19 +277,21 @@ def cluster(docs: DataFrame) -> DataFrame:
         left = parts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
         if not left["n"]:
             break
-        last = left["p"] / 2 <= 2 * left["n"] or number == MAX_ROUNDS - 1
+        stalled = before is not None and left["p"] > before / 2
+        before, last = left["p"], stalled or left["p"] / 2 <= FEW_PAIRS * left["n"] or number == MAX_ROUNDS - 1
         if last:
-            other = open_groups.select("sig", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-            pairs = open_groups.select("sig", F.col("cls").alias("a"), "root").join(other, "sig").filter("a < b and root <> root_b").select("a", "b")
+            # All pairs across components; most are ruled out where they are met, before they move.
+            rich = open_groups.join(classes.drop("least"), "cls")
+            side = lambda x: rich.select("sig", F.col("cls").alias(x), F.col("root").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))  # noqa: B023,E731
+            pairs = near(side("a").join(side("b"), "sig").filter("a < b and r_a <> r_b")).distinct()
         else:
             # Everyone against the group's leader of this round: the least by a hash that changes from round to round.
             turn = F.struct(F.xxhash64(F.col("cls"), F.lit(number)).alias("h"), F.col("cls").alias("cls"), F.col("root").alias("root"))
             led = open_groups.withColumn("leader", F.min(turn).over(by_sig)).filter("root <> leader.root")
-            pairs = led.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"))
-        pairs = pairs.distinct()
+            pairs = may_link(led.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct(), classes)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = cut(may_link(pairs, classes), f"near-pairs-{number}")
+        checked = cut(pairs, f"near-pairs-{number}")
         tried = checked if tried is None else tried.unionByName(checked)
         involved = checked.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         needed = classes.select("cls", F.col("least").alias("doc_id")).join(involved, "cls", "left_semi")
