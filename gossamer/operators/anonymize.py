@@ -61,11 +61,14 @@ def placeholder_mapping(selected: DataFrame, page=("doc_id",)) -> DataFrame:
 def anonymize(docs: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, text) with anonymized_text, replacement_count and the map placeholders."""
     numbered = number_placeholders(selected)
-    lists = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_s"), F.count("*").alias("replacement_count"))
-    maps = placeholder_mapping(selected).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("placeholders"))
-    joined = docs.join(lists, "doc_id", "left").join(maps, "doc_id", "left")
+    lists = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder", "text"))).alias("_s"), F.count("*").alias("replacement_count"))
+    joined = docs.join(lists, "doc_id", "left")
+    # Of the mentions of one placeholder the last gives the original.
+    last = F.filter("_s", lambda x, i: ~F.exists(F.slice("_s", i + 2, F.size("_s")), lambda y: y["placeholder"] == x["placeholder"]))
+    originals = F.map_from_entries(F.transform(last, lambda x: F.struct(x["placeholder"].alias("key"), x["text"].alias("value"))))
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     put = F.when(F.col("_s").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.col("_s")))
-    return joined.withColumns({"anonymized_text": put, "replacement_count": F.coalesce("replacement_count", F.lit(0)).cast("long"), "placeholders": F.coalesce("placeholders", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))}).drop("_s")
+    return joined.withColumns({"anonymized_text": put, "replacement_count": F.coalesce("replacement_count", F.lit(0)).cast("long"), "placeholders": F.coalesce(originals, nothing)}).drop("_s")
 
 
 def detect(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataFrame | None = None, rows=None) -> DataFrame:
