@@ -40,6 +40,7 @@ BUCKETS = 64
 FREQUENT = 0.001
 #: Rounds against leaders end when fewer pairs a row are left than this, or a round took away less than half.
 FEW_PAIRS, MAX_ROUNDS = 4, 12
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,12 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hash of each word seen; forgotten when there are too many."""
+    """64-bit hash of each word seen, as a signed number; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 300_000:
             self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
+        made = xxhash.xxh3_64_intdigest(word)
+        made = self[word] = made - (made >> 63 << 64)
         return made
 
 
@@ -65,12 +67,13 @@ def shingles(text: str | None, known: Words, n: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([known[w] for w in words], np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
+        out *= _STEP
+        out += h[i : len(h) - width + 1 + i]
+    return np.unique(mix(out))
 
 
 def reach(a: np.ndarray) -> np.ndarray:
