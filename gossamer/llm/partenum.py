@@ -39,7 +39,7 @@ BUCKETS = 64
 #: A shingle is frequent if so large a part of all documents hold it. At most (mean set size / FREQUENT) are.
 FREQUENT = 0.001
 #: Rounds against leaders end when fewer pairs a row are left than this, or a round took away less than half.
-FEW_PAIRS, MAX_ROUNDS = 4, 12
+FEW_PAIRS, MAX_ROUNDS = 1, 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -268,8 +268,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     # A row for each signature of each class; only groups of several classes stay.
     signed = linkable.select("cls", F.explode("sigs").alias("sig"))
     by_sig = W.partitionBy("sig")
-    met = signed.withColumns({"low": F.min("cls").over(by_sig), "top": F.max("cls").over(by_sig)}).filter("low <> top").select("sig", "cls").distinct()
-    groups = cut(met, "signature-groups")
+    # Groups of the same classes say the same: of each set of members one stays, named by a hash of the set. Where
+    # two sets had the same hash they would be one group, which only adds pairs to look at.
+    members = F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 30)).over(by_sig)
+    met = signed.withColumns({"low": F.min("cls").over(by_sig), "top": F.max("cls").over(by_sig), "all": members, "n": F.count("*").over(by_sig)}).filter("low <> top")
+    groups = cut(met.select(F.xxhash64("low", "top", "all", "n").alias("sig"), "cls").distinct(), "signature-groups")
     roots, tried, last, before = components(links), None, False, None
     for number in range(MAX_ROUNDS):
         rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
