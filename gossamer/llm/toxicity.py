@@ -12,7 +12,6 @@ toxic in toxic texts and by all windows of others.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field

@@ -27,7 +27,7 @@ UNKNOWN_PENALTY = 10.0
 #: Zipf-Mandelbrot shift for models whose scores are merge ranks, not log chances.
 ZIPF_SHIFT = 10.0
 #: Segmented words that a worker remembers; two generations of this size at most.
-MEMORY = 150_000
+MEMORY = 300_000
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -147,12 +147,12 @@ class Pieces:
         return self
 
     def chunk_pattern(self) -> re.Pattern:
-        """Splits a marked text where no piece can span: before the marker (unless a piece has it inside), and around line feeds that no piece has."""
+        """Splits a text where no piece can span: before blanks, which stand for the marker (unless a piece has it inside), and around line feeds that no piece has."""
         inside = any(MARK in n.lstrip(MARK) for n, k in zip(self.names, self.kinds, strict=True) if k in (NORMAL, USER))
         feeds = any("\n" in n for n, k in zip(self.names, self.kinds, strict=True) if k in (NORMAL, USER))
         if inside:
             return re.compile("(?s).+" if feeds else r"\n|[^\n]+")
-        return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if feeds else rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        return re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+" if feeds else rf"\n|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
 
 
 class Coder:
@@ -160,7 +160,8 @@ class Coder:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.pattern = pieces, pieces.chunk_pattern()
-        self.base, self.check, self.value = list(pieces.trie.base), list(pieces.trie.check), list(pieces.trie.value)
+        # Room behind the last state and none at the first: steps need no test of their range.
+        self.base, self.check, self.value = list(pieces.trie.base), [-2, *pieces.trie.check[1:], *[-2] * 256], list(pieces.trie.value)
         usable = [s for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
         self.unknown = (min(usable) if usable else 0.0) - UNKNOWN_PENALTY
         top = max(usable, default=0.0)
@@ -174,25 +175,25 @@ class Coder:
         n, base, check, value, scores = len(raw), self.base, self.check, self.value, self.scores
         best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        size = len(check)
         for i in range(n):
             so_far = best[i]
             if so_far == -math.inf:
                 continue
             lead = raw[i]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            state, single = 0, False
-            for j in range(i, n):
-                to = base[state] + raw[j]
-                if to >= size or check[to] != state or not to:
+            state, single, j = 0, False, i
+            for c in raw[i:]:
+                to = base[state] + c
+                if check[to] != state:
                     break
-                state = to
+                state, j = to, j + 1
                 v = value[to]
                 if v >= 0:
-                    single |= j + 1 - i == width
+                    if j - i == width:
+                        single = True
                     total = so_far + scores[v]
-                    if total > best[j + 1]:
-                        best[j + 1], back[j + 1], piece[j + 1] = total, i, v
+                    if total > best[j]:
+                        best[j], back[j], piece[j] = total, i, v
             if not single and so_far + self.unknown > best[i + width]:
                 best[i + width], back[i + width], piece[i + width] = so_far + self.unknown, i, -1
         ids, at = [], n
@@ -216,9 +217,13 @@ class Coder:
         if got is None:
             got = self.old.get(chunk)
             if got is None:
-                ids = self.segment(chunk)
-                kinds = self.pieces.kinds
-                got = (array("i", ids).tobytes(), sum(kinds[i] == BYTE for i in ids), self.join(ids) == chunk)
+                marked = chunk.replace(" ", MARK)
+                ids = self.segment(marked)
+                kinds, names = self.pieces.kinds, self.pieces.names
+                if "".join([names[i] for i in ids]) == marked:  # pieces only
+                    got = (array("i", ids).tobytes(), 0, True)
+                else:
+                    got = (array("i", ids).tobytes(), sum(kinds[i] == BYTE for i in ids), self.join(ids) == marked)
             if len(chunk) <= 64:
                 if len(self.young) >= MEMORY:
                     self.old, self.young = self.young, {}
@@ -228,7 +233,7 @@ class Coder:
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
-        return self.pattern.findall((MARK if self.pieces.dummy_prefix else "") + text.replace(" ", MARK))
+        return self.pattern.findall(" " + text if self.pieces.dummy_prefix else text)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for an empty or null one."""
@@ -296,7 +301,7 @@ def encode(docs: DataFrame, path: str = MODEL_FILE, with_ids: bool = True) -> Da
                 part = batch.slice(at, 512)
                 flat, ends, few, same = [], [0], [], []
                 for text in part.column(1).to_pylist():
-                    words = [coder.word(c) for c in coder.chunks(text or "")]
+                    words = [coder.young.get(c) or coder.word(c) for c in coder.chunks(text or "")]
                     ids = b"".join([w[0] for w in words])
                     flat.append(ids)
                     ends.append(ends[-1] + len(ids) // 4)
