@@ -5,7 +5,7 @@ letter case and gender of title, valid check digits for cards, IBANs, NRBs and P
 replacement is drawn by a keyed hash of the entity's canonical form, so the same
 entity gets the same one in every document and run (coreference); replacements
 that two entities of a kind would share, or that are themselves an entity of the
-corpus, are drawn again (distinctness).
+corpus, are drawn again, and after a few draws assigned by rank (distinctness).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from ..functions.patterns import PATTERNS
 from .common import cut
 
 KEY = "gossamer"
-MAX_DRAWS = 30
+#: Draws of an entity before the rest is assigned by rank.
+MAX_DRAWS = 6
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -244,6 +245,32 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     return filled.withColumn("surrogate", checked(F.col("filled"))).drop("pad", "places", "filled")
 
 
+def nth(places: Column, n: Column) -> Column:
+    """The ``n``-th filling of a template, counted from 0; all are different."""
+
+    def put(acc: Column, c: Column) -> Column:
+        of = F.try_element_at(_values(), c)
+        size = F.coalesce(F.size(of), F.lit(1)).cast("long")
+        value = F.when(of.isNull(), c).otherwise(F.element_at(of, (acc["rest"] % size + 1).cast("int")))
+        return F.struct(F.concat(acc["out"], value).alias("out"), F.floor(acc["rest"] / size).cast("long").alias("rest"))
+
+    return F.aggregate(places, F.struct(F.lit("").alias("out"), n.cast("long").alias("rest")), put, lambda a: a["out"])
+
+
+def room(places: Column) -> Column:
+    """How many fillings a template has."""
+    return F.aggregate(places, F.lit(1.0), lambda a, c: a * F.when(F.try_element_at(_values(), c).isNull(), 1.0).otherwise(F.size(F.try_element_at(_values(), c)).cast("double")))
+
+
+def wider(kind: Column, places: Column) -> Column:
+    """A template with one more place: a letter before a mail address, a syllable, a hexadecimal or decimal digit after others."""
+    more = F.when(kind == "email", MARK["lower"]).when(kind.isin("hex", "mac", "wallet_hex"), MARK["hex"])
+    more = F.array(more.when(kind.startswith("name"), MARK["syllable latin"]).otherwise(MARK["digit"]))
+    last = F.element_at(places, -1)
+    at_end = F.when(last.isin(LUHN, PESEL), F.concat(F.slice(places, F.lit(1), F.size(places) - 1), more, F.array(last))).otherwise(F.concat(places, more))
+    return F.when(kind == "email", F.concat(more, places)).otherwise(at_end)
+
+
 def template(kind: Column, canon: Column, key: str) -> Column:
     """What a surrogate of a canonical form looks like: characters that stay, marks of values and of check digits."""
     size = F.length(canon)
@@ -330,26 +357,70 @@ def render(kind: Column, m: Column, surrogate: Column) -> Column:
     )
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def _known_as(kind: Column, surrogate: Column) -> Column:
+    """A surrogate as the canonical form that it would be found as."""
+    return F.when(kind.startswith("name"), F.lower(surrogate)).otherwise(surrogate)
+
+
+def assign(entities: DataFrame, key: str = KEY, widen: bool = False) -> DataFrame:
     """(kind, canon, surrogate) of distinct (kind, canon): surrogates differ from each other and from all entities of their kind.
 
     A surrogate that more than one entity drew stays with the least of them; the
-    others, and those that drew an entity of the corpus, draw again. Rounds end
-    when none has to; a kind whose values run out raises an error.
+    others, and those that drew an entity of the corpus, draw again. What is left
+    after MAX_DRAWS draws gets the unused values of its template by rank. Where all
+    values of a template are used, the rest gets one of a longer form if ``widen``
+    is set, and else it is an error.
     """
+    taken = entities.select(F.col("kind").alias("t_kind"), F.col("canon").alias("t_canon"))
     now = cut(drawn(entities.select("kind", "canon", F.lit(0).alias("number")), key), "surrogates-0")
     for number in range(1, MAX_DRAWS + 1):
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("number", "canon"))
-        taken = entities.select(F.col("kind").alias("t_kind"), F.col("canon").alias("t_canon"))
-        judged = now.withColumn("turn", first).join(taken, (F.col("kind") == F.col("t_kind")) & (F.when(F.col("kind").startswith("name"), F.lower("surrogate")).otherwise(F.col("surrogate")) == F.col("t_canon")), "left")
+        judged = now.withColumn("turn", first).join(taken, (F.col("kind") == F.col("t_kind")) & (_known_as(F.col("kind"), F.col("surrogate")) == F.col("t_canon")), "left")
         judged = judged.withColumn("again", (F.col("turn") > 1) | F.col("t_canon").isNotNull()).select("kind", "canon", "number", "surrogate", "again").distinct()
         judged = cut(judged, f"surrogates-judged-{number}")
         if judged.filter("again").isEmpty():
             return judged.select("kind", "canon", "surrogate")
         kept = judged.filter(~F.col("again")).select("kind", "canon", "number", "surrogate")
-        again = drawn(judged.filter("again").select("kind", "canon", (F.col("number") + 1).alias("number")), key)
-        now = cut(kept.unionByName(again), f"surrogates-{number}")
-    raise ValueError("a kind of entity has more members than surrogates")
+        if number < MAX_DRAWS:
+            again = drawn(judged.filter("again").select("kind", "canon", (F.col("number") + 1).alias("number")), key)
+            now = cut(kept.unionByName(again), f"surrogates-{number}")
+    left = judged.filter("again").select("kind", "canon", template(F.col("kind"), F.col("canon"), key).alias("places"))
+    return _by_rank(kept.select("kind", "canon", "surrogate"), left, taken, key, widen)
+
+
+def _by_rank(kept: DataFrame, left: DataFrame, taken: DataFrame, key: str, widen: bool) -> DataFrame:
+    """``kept`` and for each row of ``left`` (kind, canon, places) a value of its template that is not in use.
+
+    Of a kind with n entities, less than 2 n values are in use or wanted, so of each
+    template so many are tried. Only templates that draws have all but filled come here.
+    """
+    members = taken.groupBy(F.col("t_kind").alias("kind")).agg((2 * F.count("*")).alias("most"))
+    keyed = lambda c: F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", c), 256)
+    step = 0
+    while True:
+        step += 1
+        left = cut(left.withColumn("space", F.array_join("places", "")), f"surrogates-left-{step}")
+        if left.isEmpty():
+            return kept
+        spaces = left.select("kind", "space", "places").distinct().join(F.broadcast(members), "kind")
+        n = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("most").cast("double"), room(F.col("places"))).cast("long") - 1)).alias("n")
+        filled = spaces.select("kind", "space", "places", n).withColumn("filled", nth(F.col("places"), F.col("n")))
+        values = filled.withColumn("surrogate", checked(F.col("filled"))).groupBy("kind", "surrogate").agg(F.min("space").alias("space"))
+        used = kept.select(F.col("kind").alias("u_kind"), F.col("surrogate").alias("u_surrogate"))
+        free = values.join(used, (F.col("kind") == F.col("u_kind")) & (F.col("surrogate") == F.col("u_surrogate")), "left_anti")
+        free = free.join(taken, (F.col("kind") == F.col("t_kind")) & (_known_as(F.col("kind"), F.col("surrogate")) == F.col("t_canon")), "left_anti")
+        rank = lambda c: F.row_number().over(W.partitionBy("kind", "space").orderBy(keyed(c), c))
+        free = free.withColumn("turn", rank("surrogate"))
+        matched = cut(left.withColumn("turn", rank("canon")).join(free, ["kind", "space", "turn"], "left"), f"surrogates-ranked-{step}")
+        got = matched.filter("surrogate is not null").select("kind", "canon", "surrogate")
+        left = matched.filter("surrogate is null").select("kind", "canon", "places", "space")
+        # Values that a lesser template also has went to that one; a template that got none now is full.
+        full = left.join(matched.filter("surrogate is not null").select("kind", "space").distinct(), ["kind", "space"], "left_anti")
+        if not widen and not full.isEmpty():
+            raise ValueError("a kind of entity has more members than surrogates")
+        part = left.join(full.select("kind", "space").distinct(), ["kind", "space"], "left_anti").select("kind", "canon", "places")
+        left = part.unionByName(full.select("kind", "canon", wider(F.col("kind"), F.col("places")).alias("places")))
+        kept = cut(kept.unionByName(got), f"surrogates-kept-{step}")
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -366,7 +437,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     mention = F.explode(F.array_distinct("pii_found")).alias("m")
     mentions = hits.select("pii_row", "pii_size", mention).withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("kind"), F.col("m")))
     mentions = cut(mentions, "pii-mentions")
-    surrogates = assign(mentions.select("kind", "canon").distinct(), key)
+    surrogates = assign(mentions.select("kind", "canon").distinct(), key, widen=True)
     # A text's mentions and what stands for them; the same text needs it once.
     known = mentions.distinct().join(surrogates, ["kind", "canon"]).withColumn("put", render(F.col("kind"), F.col("m"), F.col("surrogate")))
     of_text = known.groupBy("pii_row", "pii_size").agg(F.map_from_entries(F.collect_list(F.struct("m", "put"))).alias("pii_map"), F.collect_set("kind").alias("pii_kinds"))
