@@ -31,7 +31,7 @@ MAX_ROWS, MAX_CHARS = 3_000, 6_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 4, 5
 INPUTS = WORD_SIZE + 1 + CHAR_SIZE
-#: Sizes of n-grams in bytes, with marks at a word's ends, and the bytes of a word that are read.
+#: Sizes of n-grams in bytes, with marks at a word's ends, and the bytes from which a word is read in pieces.
 GRAMS, WORD_BYTES = (3, 4, 5, 6), 48
 #: Training texts that a word or n-gram must stand in to have a vector.
 LEAST_TEXTS = 4
@@ -41,13 +41,25 @@ TOKEN = re.compile(r"\w+")
 BATCH, TEXTS = 2048, 256
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words. A longer one than WORD_BYTES (unspaced scripts, glued words) becomes pieces; every run of 6 characters is in a piece."""
+    out = []
+    for w in TOKEN.findall(text.lower()):
+        if len(w) * 4 <= WORD_BYTES or len(w.encode("utf-8", "replace")) <= WORD_BYTES:
+            out.append(w)
+            continue
+        size = WORD_BYTES // max(len(c.encode("utf-8", "replace")) for c in set(w))
+        out += [w[i : i + size] for i in range(0, len(w) - size // 2, size // 2)]
+    return out
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
 
 
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the word) of all byte n-grams of the marked words."""
-    marked = [b"^" + w.encode("utf-8", "replace")[:WORD_BYTES] + b"$" for w in words]
+    marked = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
     owner = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
     raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     hashes, owners = [], []
@@ -243,7 +255,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11, epochs: int = 4, least_st
     net.base = float(np.mean([y for _, y in rows])) if rows else 0.0
     if net.base in (0.0, 1.0):
         return net
-    docs = [(TOKEN.findall(t.lower()), y) for t, y in rows]
+    docs = [(words_of(t), y) for t, y in rows]
     order = rng.permutation(len(docs))
     n_check = len(docs) // 5
     check, fit_on = [docs[i] for i in order[:n_check]], [docs[i] for i in order[n_check:]]
@@ -379,7 +391,7 @@ class Scorer:
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         """Rows of the words of each text; of a text without words, row 0."""
         row = self.row
-        words = [TOKEN.findall((t or "").lower()) for t in texts]
+        words = [words_of(t or "") for t in texts]
         new = sorted({w for ws in words for w in ws if w not in row})
         if new:
             base = len(row)
