@@ -28,7 +28,7 @@ FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 #: The most labelled rows that training draws, half of either class if there are as many, and the longest text that takes part.
 MAX_ROWS, MAX_CHARS = 3_000, 6_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 4, 5
 INPUTS = WORD_SIZE + 1 + CHAR_SIZE
 #: Sizes of n-grams in bytes, with marks at a word's ends, and the bytes from which a word is read in pieces.

@@ -30,3 +30,10 @@ def test_whole_long_words_count(net):
         assert all(len(p.encode()) <= toxicity.WORD_BYTES for p in pieces)
         assert all(any(word[i : i + 6] in p for p in pieces) for i in range(len(word) - 5)) and pieces[-1] == word[-len(pieces[-1]) :]
     assert toxicity.words_of("Ab, cd" + " e" * 3) == ["ab", "cd", "e", "e", "e"]
+
+
+def test_passages_stand_whole_in_a_window():
+    for n in (33, 40, 57, 200, 1001):
+        at = toxicity.starts(n)
+        for first in range(n - 16):
+            assert any(a <= first and first + 17 <= a + toxicity.WINDOW for a in at)
