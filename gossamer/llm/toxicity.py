@@ -6,8 +6,9 @@ that enough training texts hold; both begin with log odds between classes. Two
 gated recurrent units run over a window, forwards and backwards; attention weighs
 their states, and a logistic unit scores the window. A text's score is that of
 its highest window, calibrated. Trained in numpy on the driver, on a bounded
-sample; labels are of whole texts, so training goes by the windows that look most
-toxic in toxic texts and by all windows of others.
+sample; labels are of whole texts, so in each epoch training goes by the window that
+looks most toxic of each toxic text, and by that window and up to four random ones of
+each other text. Of long texts it draws spans from their whole length.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-#: The most labelled rows that training draws, half of either class if there are as many, and the longest text that takes part.
+#: The most labelled rows that training draws, half of either class if there are as many, and the characters that take part of a text.
 MAX_ROWS, MAX_CHARS = 3_000, 6_000
+#: Spans that stand for a longer text, one drawn from each equal part of it.
+SPANS = 10
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 4, 5
 INPUTS = WORD_SIZE + 1 + CHAR_SIZE
@@ -454,13 +457,25 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(a * self.tops(texts).astype(float) + b, -30, 30)))
 
 
+def bounded(text: Column) -> Column:
+    """A text of at most MAX_CHARS characters as it is; of a longer one, SPANS spans from its whole length, MAX_CHARS characters in all."""
+    length, size = F.length(text), MAX_CHARS // SPANS
+
+    def span(i: Column) -> Column:
+        begin = F.floor(length * i / SPANS)
+        spare = F.floor(length * (i + 1) / SPANS) - begin - size
+        at = begin + F.pmod(F.xxhash64(text, i), F.greatest(F.lit(1).cast("long"), spare + 1))
+        return F.substr(text, (at + 1).cast("int"), F.lit(size))
+
+    return F.when(length > MAX_CHARS, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), span), " ")).otherwise(F.coalesce(text, F.lit("")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Network:
-    """Train on a bounded sample of labelled rows outside the held-out fold, of texts of MAX_CHARS characters at most."""
+    """Train on a bounded sample of labelled rows outside the held-out fold; long texts take part by spans of their whole length."""
     fold = labelled.remainder(F.col("doc_id"), FOLDS)
     usable = labels.filter(fold != HELD).agg(F.avg(label)).first()[0] or 0.0
     rows = labelled.sample(docs, labels, label, fold != HELD, max_rows, "toxic", balance=True)
-    rows = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS)
-    drawn = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()  # at most about max_rows * MAX_CHARS characters
+    drawn = rows.select("doc_id", bounded(F.col("text")).alias("text"), "y").collect()  # at most about max_rows * MAX_CHARS characters
     return train([(r["text"], r["y"]) for r in sorted(drawn, key=lambda r: (r["doc_id"], r["text"]))], prior=usable)
 
 

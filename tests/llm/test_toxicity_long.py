@@ -37,3 +37,19 @@ def test_passages_stand_whole_in_a_window():
         at = toxicity.starts(n)
         for first in range(n - 16):
             assert any(a <= first and first + 17 <= a + toxicity.WINDOW for a in at)
+
+
+def test_long_labelled_texts_take_part(spark):
+    """Half of the texts are long; words that stand only in long texts are learned, from everywhere in them."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(200):
+        words = [f"plain{rng.randrange(30):02d}" for _ in range(2_000 if i % 2 else 50)]
+        if i % 2:
+            words = [w if j % 3 else f"longonly{j * 10 // 2_000}" for j, w in enumerate(words)]
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    net = toxicity.fit(frame, spark.createDataFrame([(i, i // 2 % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert all(toxicity.find(net.words, toxicity.word_hashes([f"longonly{k}"]))[0] for k in range(10))
+    cut = frame.select("text", toxicity.bounded(F.col("text")).alias("cut")).collect()
+    assert all(r.cut == r.text if len(r.text) <= toxicity.MAX_CHARS else toxicity.MAX_CHARS <= len(r.cut) < toxicity.MAX_CHARS + toxicity.SPANS for r in cut)
