@@ -35,18 +35,18 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """Matches of the portable patterns in order of arrival."""
-    raw = extract.pattern_spans(docs, P.portable())
+def found(docs: DataFrame, rows=None) -> DataFrame:
+    """Matches of the portable patterns, or of ``rows``, in order of arrival."""
+    raw = extract.pattern_spans(docs, rows or P.portable())
     return raw.withColumn("ord", F.col("ord").cast("long") * 10_000_000 + F.col("start"))
 
 
-def merged(docs: DataFrame) -> DataFrame:
-    return spans.merge_equivalent(spans.dedupe_exact(spans.sanitize(found(docs))))
+def merged(docs: DataFrame, rows=None) -> DataFrame:
+    return spans.merge_equivalent(spans.dedupe_exact(spans.sanitize(found(docs, rows))))
 
 
-def chosen(docs: DataFrame) -> DataFrame:
-    return spans.non_overlapping(merged(docs))
+def chosen(docs: DataFrame, rows=None) -> DataFrame:
+    return spans.non_overlapping(merged(docs, rows))
 
 
 def placed(df: DataFrame, *columns: str) -> DataFrame:
@@ -473,3 +473,44 @@ _WORDS = ["MIT License", "cc by-nc", "General Public"]
 def custom_literal_spans(spark, sf):
     words = inline(spark, [("w", w, None) for w in _WORDS], "label string, value string, category string")
     return placed(extract.literal_spans(documents(spark, sf), words), "doc_id", "text")
+
+
+# ---- the same with the whole catalogue; SQL cannot express all of its patterns
+
+
+@query("pii_spans_everything")
+def pii_spans_everything(spark, sf):
+    return placed(extract.pattern_spans(documents(spark, sf), P.everything()), "doc_id", "pattern", "category", "text")
+
+
+@query("page_secrets_everything")
+def page_secrets_everything(spark, sf):
+    docs = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    rows = [r for r in P.everything() if r[2] in ("secret", "account_number")]
+    return placed(extract.pattern_spans(docs, rows).withColumnRenamed("doc_id", "page_id"), "page_id", "pattern", "text")
+
+
+@query("sanitized_spans_everything")
+def sanitized_spans_everything(spark, sf):
+    return placed(spans.judged(found(documents(spark, sf), P.everything())), "doc_id", "pattern", "category", "text", "drop_reason")
+
+
+@query("merged_spans_everything")
+def merged_spans_everything(spark, sf):
+    return placed(merged(documents(spark, sf), P.everything()), "doc_id", "pattern", "category", "text")
+
+
+@query("nonoverlap_selection_everything")
+def nonoverlap_selection_everything(spark, sf):
+    return placed(chosen(documents(spark, sf), P.everything()), "doc_id", "pattern", "category", "text")
+
+
+@query("placeholder_mapping_everything")
+def placeholder_mapping_everything(spark, sf):
+    return anonymize.placeholder_mapping(chosen(documents(spark, sf), P.everything()))
+
+
+@query("anonymized_text_everything")
+def anonymized_text_everything(spark, sf):
+    docs = documents(spark, sf)
+    return anonymize.anonymize(docs, chosen(docs, P.everything())).select("doc_id", "anonymized_text", "replacement_count")
