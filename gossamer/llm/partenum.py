@@ -3,19 +3,24 @@
 Texts are sets of 5-word shingles (64-bit hashes). Equal sets form a class, and
 classes are joined. Two sets of sizes a and b have Jaccard similarity 0.8 or more
 exactly if at most (a + b) / 9 shingles stand in one of them only. For each band
-of sizes the domain of shingles is split into n1 partitions by hash; sets of one
-band, or of its upper neighbour near the edge, use the same split. Of the subsets
-of one partition each, a set signs those that it fills: if two sets differ in at
-most k shingles, at least n1 - k - (partitions empty in both) partitions are the
-same and filled in both. So a set may leave out its least telling partitions and
-sign only k + 1, as long as all sets order partitions by something that equal
-partitions have in common: here first by shingles that few documents share, then
-by all shingles. A set that fills fewer than k + 1 partitions signs them all, and
-for pairs of two such sets also its first shingles in hash order.
-
-Signatures are met without pairing a group's members with each other: rounds
-compare each member with one leader of its group, and only what then still spans
-several components is paired, through an exact lower bound on the difference.
+of sizes the domain of shingles is split by hash into n1 partitions and each of
+these into three; signatures are the subsets of two of the three (n2 = 3, k2 = 1).
+Sets of one band, or of its upper neighbour near the edge, use the same split.
+
+Of 3 n1 subsets, a shingle in one set only changes two, a second one in the same
+partition the third. So of two sets that differ in at most k shingles, at least
+3 n1 - 2 k subsets (k < n1) or 2 n1 - k (else) are equal, and a set needs to sign
+only so many that two such choices must meet: 2 k + 1 or n1 + k + 1, the fullest
+subsets first, an order that equal subsets have in common. Empty subsets are not
+signed; a set that lacks some for that also signs its first shingles in hash order,
+for pairs of two such sets.
+
+Groups of one signature are never paired with themselves. In rounds, every class
+is compared with one leader among its groups: the one met most often, later others.
+Groups that still span several components are split further: the shingles of their
+members are counted, and a set goes on only with its rarest shingles, as many as a
+partner of a given size must share, by size and position. Sets with too many
+shingles of their own have no partner and end there.
 """
 
 from __future__ import annotations
@@ -25,23 +30,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
 
 WORDS, NUM, DEN = 5, 80, 100
-#: Shingles that a partition holds on average in the largest sets of its band, and partitions added for small sets.
-FILL, SPARE = 3.2, 4
-BUCKETS = 64
-#: A shingle is frequent if so large a part of all documents hold it. At most (mean set size / FREQUENT) are.
-FREQUENT = 0.001
-#: Rounds against leaders end when fewer pairs a row are left than this, or a round took away less than half.
-FEW_PAIRS, MAX_ROUNDS = 1, 12
+#: n2: cells of a partition, of which subsets leave out one (k2 = 1).
+CELLS = 3
+#: Partitions of a split beyond the fewest: 2, and one in 50. Their subsets make up for empty ones.
+SPARE, SPARE_PART = 2, 50
+#: Rounds against leaders: at most so many, fewer if a round's links are under this part of its pairs.
+MAX_ROUNDS, FEW_LINKS = 3, 0.05
+#: Sizes of sets fall into steps of this ratio where groups are split.
+STEP_RATIO = 1.05
+#: Classes that a task remembers as signed already.
+SEEN = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,55 +84,58 @@ def shingles(text: str | None, known: Words, n: int = WORDS) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def reach(a: np.ndarray) -> np.ndarray:
-    """The most shingles that a set of size a and a similar set may differ in."""
-    return (a + a * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most shingles that stand in one only of two similar sets of sizes a and b."""
+    return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
 def partitions(band: np.ndarray) -> np.ndarray:
     """n1 of the split for sets whose size has ``band`` + 1 binary digits."""
-    return np.ceil(np.floor((2.0 ** (band + 1) - 1) * DEN / NUM) / FILL).astype(np.int64) + SPARE
+    top = 2 ** (band + 1) - 1
+    return differ(top, top * DEN // NUM) // 2 + 1 + SPARE + differ(top, top) // (2 * SPARE_PART)
 
 
-def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
-    """The signatures of each set. Sets with reach 0 are similar to equal sets only and have none."""
+def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The signatures of each set. Sets that are similar to equal sets only have none."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    k = reach(sizes)
-    out: list[list[np.ndarray]] = [[] for _ in sets]
     band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
-    own = np.flatnonzero(k > 0)
-    lower = own[-(-sizes[own] * NUM // DEN) < 2 ** band[own]]
+    least = -(-sizes * NUM // DEN)
+    edge = 2**band - 1  # the largest size of the band below
+    out: list[list[np.ndarray]] = [[] for _ in sets]
     poor = np.zeros(len(sets), bool)
-    for who, at in ((own, band[own]), (lower, band[lower] - 1)):
+    own = np.flatnonzero(differ(sizes, sizes * DEN // NUM) > 0)
+    lower = np.flatnonzero((least <= edge) & (sizes > 0))
+    for who, at, k in ((own, band[own], differ(sizes[own], sizes[own] * DEN // NUM)), (lower, band[lower] - 1, differ(sizes[lower], edge[lower]))):
         if not len(who):
             continue
         n1 = partitions(at)
-        start = np.concatenate([[0], np.cumsum(n1)])
+        first = np.concatenate([[0], np.cumsum(n1)]) * CELLS
+        total = int(first[-1])
         all_of = np.concatenate([sets[i] for i in who])
         doc = np.repeat(np.arange(len(who)), sizes[who])
         salt = mix(at.astype(np.uint64) + np.uint64(0x51ED270B))
-        slot = start[doc] + (mix(all_of ^ salt[doc]) % n1[doc].astype(np.uint64)).astype(np.int64)
+        cell = first[doc] + (mix(all_of ^ salt[doc]) % (n1 * CELLS)[doc].astype(np.uint64)).astype(np.int64)
         body = mix(all_of + salt[doc])
-        total = int(start[-1])
-        count = np.bincount(slot, minlength=total)
-        rare = np.bincount(slot, weights=~np.isin(all_of, frequent), minlength=total).astype(np.int64) if len(frequent) else count
-        # Sums of 32-bit halves stay exact in doubles for up to 2^21 shingles a partition.
-        low = np.bincount(slot, weights=(body & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
-        high = np.bincount(slot, weights=(body >> np.uint64(32)).astype(np.float64), minlength=total).astype(np.uint64)
-        part_doc = np.repeat(np.arange(len(who)), n1)
-        place = (np.arange(total) - start[part_doc]).astype(np.uint64)
-        sig = mix(mix(low + (high << np.uint64(32)) + (high >> np.uint64(32)) * _M1) + mix(place ^ (salt[part_doc] << np.uint64(1))))
-        order = np.lexsort((sig, -count, -rare, part_doc))
-        rank = np.arange(total) - start[part_doc]  # part_doc of the ordered rows is the same array
-        keep = (rank <= k[who][part_doc]) & (count[order] > 0)
-        chosen, by = sig[order][keep], part_doc[keep]
+        # Sums of 32-bit halves stay exact in doubles for up to 2^21 shingles a cell.
+        low = np.bincount(cell, weights=(body & _LOW).astype(np.float64), minlength=total).astype(np.uint64)
+        high = np.bincount(cell, weights=(body >> np.uint64(32)).astype(np.float64), minlength=total).astype(np.uint64)
+        inside = low + (high << np.uint64(32)) + (high >> np.uint64(32)) * _M1
+        count = np.bincount(cell, minlength=total)
+        # Subset j of a partition is all its cells but cell j.
+        rest = lambda x: (x.reshape(-1, CELLS).sum(1, dtype=x.dtype)[:, None] - x.reshape(-1, CELLS)).ravel()
+        of = np.repeat(np.arange(len(who)), n1 * CELLS)
+        place = (np.arange(total) - first[of]).astype(np.uint64)
+        sig, count = mix(mix(rest(inside)) + mix(place ^ (salt[of] << np.uint64(1)))), rest(count)
+        needed = np.where(k < n1, 2 * k + 1, n1 + k + 1)
+        order = np.lexsort((((np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(56)) | (sig >> np.uint64(8)), of))
+        keep = (place < needed[of].astype(np.uint64)) & (count[order] > 0)  # ``of`` and ``place`` of the ordered rows are the same arrays
+        chosen, by = sig[order][keep], of[keep]
         ends = np.searchsorted(by, np.arange(len(who) + 1))
         for d, i in enumerate(who):
             out[i].append(chosen[ends[d] : ends[d + 1]])
-            poor[i] |= ends[d + 1] - ends[d] < k[i] + 1
+            poor[i] |= ends[d + 1] - ends[d] < needed[d]
     for i in np.flatnonzero(poor):
-        first = np.sort(mix(sets[i] ^ np.uint64(0x0BADC0DE)))[: sizes[i] - -(-sizes[i] * NUM // DEN) + 1]
-        out[i].append(mix(first + np.uint64(77)))
+        out[i].append(mix(np.sort(mix(sets[i] ^ np.uint64(0x0BADC0DE)))[: sizes[i] - least[i] + 1] + np.uint64(77)))
     return [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in out]
 
 
@@ -133,50 +144,22 @@ def class_of(s: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), len(s)), np.uint64).view(np.int64)) if len(s) else None
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles by bucket, 255 at most: the sum of two sketches' differences is at most the sets' difference."""
-    return np.minimum(np.bincount((mix(s) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as a list column."""
+    ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def frequent_shingles(docs: DataFrame, part: float = FREQUENT) -> np.ndarray:
-    """Shingles that about ``part`` of all documents or more hold, sorted; only a hint for the order of partitions.
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, cls, n, sigs) of each row: cls is the hash of the set, null for an empty one.
 
-    Every batch of every task gives the shingles that about that part of it holds, with
-    counts; their sums are compared with the number of all documents. So the result's
-    size is bounded by the mean size of a set, not by the number of documents.
+    A task gives a class's signatures with the first row it sees of it, so copies,
+    however many, add a row a task to the signatures' groups.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, rows = Words(), [], 0
-
-        def told() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, 0.75 * part * rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h[often].view(np.int64), 0)), pa.array(np.append(n[often], rows)), pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["h", "n", "docs"])
-
-        size = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, known))
-                rows, size = rows + 1, size + len(held[-1])
-                if size > 2_000_000:
-                    yield told()
-                    held, rows, size = [], 0, 0
-        if rows:
-            yield told()
-
-    summed = cut(docs.select("text").mapInArrow(task, "h long, n long, docs boolean").groupBy("h", "docs").agg(F.sum("n").alias("n")), "shingle-counts")
-    total = summed.filter("docs").agg(F.max("n")).first()[0] or 0
-    found = summed.filter(~F.col("docs") & (F.col("n") >= max(8.0, part * total))).select("h").collect()
-    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
-
-
-def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, cls, n, sketch, sigs) of each row: cls is the hash of the set, null for an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known, seen = Words(), set()
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # parts of a bounded number of shingles
@@ -186,52 +169,28 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     size += len(sets[-1])
                     if size > 500_000:
                         break
-                sigs = signatures(sets, shared.value)
-                ends = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
                 cls = [class_of(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(sets)),
-                        pa.array(cls, pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([sketch(s) for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64))),
-                    ],
-                    names=["doc_id", "cls", "n", "sketch", "sigs"],
-                )
+                fresh, sigs = [], [np.empty(0, np.uint64)] * len(sets)
+                if len(seen) > SEEN:
+                    seen.clear()
+                for i, (c, known_id) in enumerate(zip(cls, batch.column(0).slice(at, len(sets)).is_valid().to_pylist(), strict=True)):
+                    if c is not None and known_id and c not in seen:
+                        seen.add(c)
+                        fresh.append(i)
+                for i, made in zip(fresh, signatures([sets[i] for i in fresh]), strict=True):
+                    sigs[i] = made
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(sigs)], names=["doc_id", "cls", "n", "sigs"])
                 at += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, cls long, n long, sketch binary, sigs array<long>")
-
-
-def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that sizes and sketches don't rule out."""
-    about = lambda side: classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    return near(pairs.join(about("a"), "a").join(about("b"), "b"))
-
-
-def near(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows with sizes n_a, n_b and sketches s_a, s_b that don't rule the pair out."""
-    rows = rows.filter((F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
-                grid = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-                apart = np.abs(grid(sa) - grid(sb)).sum(1)
-                keep = apart * (DEN + NUM) <= (na.to_numpy() + nb.to_numpy()) * (DEN - NUM)
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
-
-    return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(task, "a long, b long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, cls long, n long, sigs array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose sets have Jaccard similarity NUM / DEN or more, on the sets themselves.
 
-    ``texts``: (cls, doc_id) of one document per class joined to its text. b's text is
-    fetched first; then the rows meet a's text, whose hot keys adaptive execution splits.
-    Where an id has several texts, only that of the class counts.
+    ``texts``: (cls, text) of one document per class. b's text is fetched first; then
+    the rows meet a's text, whose hot keys adaptive execution splits. Where an id has
+    several texts, only that of the class counts.
     """
     with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
@@ -252,6 +211,55 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among ``members`` (cls, root) that sizes and rarest shingles don't rule out.
+
+    Shingles are ordered by how many members hold them. Similar sets of sizes n >= m
+    share at least (n + m) * NUM / (NUM + DEN) shingles, so the first one they share
+    stands early in both; how early depends on n and m. Rows are (shingle, step of m):
+    the smaller set gives its own step, the larger one those its position allows.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, known)
+                if class_of(s) == cls:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls)), pa.array(s.view(np.int64))], names=["cls", "h"])
+
+    rows = cut(texts.join(members.select("cls"), "cls", "left_semi").select("cls", "text").mapInArrow(task, "cls long, h long"), "member-shingles")
+    shared = rows.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
+    held = rows.join(shared, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("held"))  # a document's own shingles
+    least = lambda n: -F.floor(-(n * NUM) / DEN)
+    # Shingles of its own come first; they take ``own`` positions.
+    listed = held.join(sizes, "cls").join(members, "cls").withColumn("own", F.col("n") - F.size("held"))
+    listed = listed.withColumn("first", F.greatest(F.lit(0), (F.col("n") - least(F.col("n")) + 1 - F.col("own")).cast("int"))).filter("first > 0")
+    placed = listed.select("cls", "root", "n", "own", F.posexplode(F.expr("slice(held, 1, first)")).alias("at", "x"))
+    placed = placed.select("cls", "root", "n", F.col("x.h").alias("h"), (F.col("own") + F.col("at") + 1).alias("p"))
+    placed = cut(placed, "rare-shingles")
+    step = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(STEP_RATIO)))).cast("int")
+    overlap = lambda n, m: -F.floor(-((n + m) * NUM) / (NUM + DEN))
+    n, p = F.col("n"), F.col("p")
+    small = placed.filter(p <= n - overlap(n, n) + 1).select("h", step(n).alias("step"), F.col("cls").alias("b"), F.col("root").alias("rb"), n.alias("nb"), p.alias("pb"))
+    most = F.least(n, F.floor((n - p + 1) * (NUM + DEN) / NUM) - n)
+    large = placed.filter(most >= least(n)).select("h", F.explode(F.sequence(step(least(n)), step(most))).alias("step"), F.col("cls").alias("a"), F.col("root").alias("ra"), n.alias("na"), p.alias("pa"))
+    # Groups of one component have nothing to find; nor have those with one member.
+    spans = small.select("h", "step", F.col("rb").alias("r")).unionByName(large.select("h", "step", F.col("ra").alias("r"))).groupBy("h", "step").agg(F.min("r").alias("x"), F.max("r").alias("y")).filter("x <> y").select("h", "step")
+    na, nb, pa_, pb = F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")
+    fits = (F.col("ra") != F.col("rb")) & (nb >= least(na)) & ((na > nb) | ((na == nb) & (F.col("a") > F.col("b")))) & (overlap(na, nb) <= 1 + F.least(na - pa_, nb - pb))
+    met = small.join(spans, ["h", "step"], "left_semi").alias("s").join(large.alias("l"), (F.col("s.h") == F.col("l.h")) & (F.col("s.step") == F.col("l.step")) & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def spanning(groups: DataFrame, roots: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """(sig, cls, w, root) of the groups that hold several components, and the leader of each: the member of most ``weight``."""
+    rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", "w", F.coalesce("root", "cls").alias("root"))
+    led = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.max(F.struct(weight.alias("by"), F.col("cls"), F.col("root"))).alias("leader")).filter("low <> top").select("sig", "leader")
+    return rooted.join(led.select("sig"), "sig", "left_semi"), led
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text).
 
@@ -259,54 +267,44 @@ def cluster(docs: DataFrame) -> DataFrame:
     without id has no component. Rows that repeat an id are one document: what any
     of them links to, all do.
     """
-    described = cut(describe(docs, frequent_shingles(docs)), "shingle-sets")
+    described = cut(describe(docs), "shingle-sets")
     linkable = described.filter("cls is not null and doc_id is not null")
-    classes = cut(linkable.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-classes")
+    classes = cut(linkable.groupBy("cls").agg(F.min("doc_id").alias("least")), "shingle-classes")
     # Sets that one id holds are linked through the least of them.
     repeats = linkable.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("top")).filter("a <> top")
     links = cut(linkable.select("doc_id", F.col("cls").alias("b")).join(repeats, "doc_id").filter("a <> b").select("a", "b").distinct(), "same-id-links")
     # A row for each signature of each class; only groups of several classes stay.
     signed = linkable.select("cls", F.explode("sigs").alias("sig"))
-    by_sig = W.partitionBy("sig")
+    met = signed.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 36)).alias("all"), F.count("*").alias("size")).filter("low <> top")
     # Groups of the same classes say the same: of each set of members one stays, named by a hash of the set. Where
     # two sets had the same hash they would be one group, which only adds pairs to look at.
-    members = F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 30)).over(by_sig)
-    met = signed.withColumns({"low": F.min("cls").over(by_sig), "top": F.max("cls").over(by_sig), "all": members, "n": F.count("*").over(by_sig)}).filter("low <> top")
-    groups = cut(met.select(F.xxhash64("low", "top", "all", "n").alias("sig"), "cls").distinct(), "signature-groups")
-    roots, tried, last, before = components(links), None, False, None
-    for number in range(MAX_ROUNDS):
-        rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-        spanning = rooted.withColumns({"low": F.min("root").over(by_sig), "top": F.max("root").over(by_sig)}).filter("low <> top").drop("low", "top")
-        open_groups = cut(spanning, f"open-groups-{number}")
-        # Rows, and twice the pairs across components, in all groups.
-        parts = open_groups.groupBy("sig", "root").agg(F.count("*").cast("double").alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("p"), F.sum("n").alias("n"))
-        left = parts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            break
-        stalled = before is not None and left["p"] > before / 2
-        before, last = left["p"], stalled or left["p"] / 2 <= FEW_PAIRS * left["n"] or number == MAX_ROUNDS - 1
-        if last:
-            # All pairs across components; most are ruled out where they are met, before they move.
-            rich = open_groups.join(classes.drop("least"), "cls")
-            side = lambda x: rich.select("sig", F.col("cls").alias(x), F.col("root").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))  # noqa: B023,E731
-            pairs = near(side("a").join(side("b"), "sig").filter("a < b and r_a <> r_b")).distinct()
+    named = F.xxhash64("low", "top", "all", "size").alias("name")
+    groups = signed.join(met.select("sig", named, "size"), "sig").select(F.col("name").alias("sig"), "cls", "size").distinct()
+    groups = cut(groups, "signature-groups")
+    weights = groups.groupBy("cls").agg(F.sum("size").alias("w"))
+    groups = cut(groups.join(weights, "cls").select("sig", "cls", "w"), "weighed-groups")
+    ids = classes.join(groups.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("least").alias("doc_id"))
+    texts = cut(ids.join(docs.select("doc_id", "text"), "doc_id").select("cls", "text"), "met-texts")
+    roots, tried, number, split = components(links), None, 0, False
+    while not split:
+        # Everyone against one leader: at first that with most company, then one by a hash that changes from round to round.
+        open_groups, led = spanning(groups, roots, F.col("w") if not number else F.xxhash64("cls", F.lit(number)))
+        split = number == MAX_ROUNDS or (number > 0 and n_links < FEW_LINKS * n_pairs)
+        if split:
+            pairs = rare_pairs(cut(open_groups.select("cls", "root").distinct(), "open-classes"), texts)
         else:
-            # Everyone against the group's leader of this round: the least by a hash that changes from round to round.
-            turn = F.struct(F.xxhash64(F.col("cls"), F.lit(number)).alias("h"), F.col("cls").alias("cls"), F.col("root").alias("root"))
-            led = open_groups.withColumn("leader", F.min(turn).over(by_sig)).filter("root <> leader.root")
-            pairs = may_link(led.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct(), classes)
+            choice = open_groups.join(led, "sig").filter("root <> leader.root").groupBy("cls").agg(F.max("leader").alias("leader"))
+            pairs = choice.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = cut(pairs, f"near-pairs-{number}")
         tried = checked if tried is None else tried.unionByName(checked)
-        involved = checked.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        needed = classes.select("cls", F.col("least").alias("doc_id")).join(involved, "cls", "left_semi")
-        texts = cut(needed.join(docs.select("doc_id", "text"), "doc_id").select("cls", "text"), f"near-texts-{number}")
         found = cut(verify(checked, texts), f"near-links-{number}")
-        if not found.isEmpty():
+        n_pairs, n_links, number = checked.count(), found.count(), number + 1
+        if n_links:
             links = links.unionByName(found)
             roots = components(links)
-        if last:
+        if not n_pairs:
             break
     placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))

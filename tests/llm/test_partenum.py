@@ -49,10 +49,42 @@ def test_signatures_meet_for_all_similar_sets():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.08], pool[size : size + int(rng.integers(0, size // 8 + 2))]]))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common) and len(a) != common != len(b):
-            x, y = partenum.signatures([a, b], np.sort(pool[: size // 3]))
+            x, y = partenum.signatures([a, b])
             assert len(np.intersect1d(x, y))
-            apart = np.abs(np.frombuffer(partenum.sketch(a), np.uint8).astype(int) - np.frombuffer(partenum.sketch(b), np.uint8)).sum()
-            assert apart <= len(a) + len(b) - 2 * common
+
+
+def test_subsets_of_two_cells_are_enumerated():
+    """A set signs subsets of the cells: one shingle in one set only leaves a subset of its partition equal."""
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 1 << 63, 255).astype(np.uint64))
+    whole, less = partenum.signatures([s, s[1:]])
+    assert len(whole) - len(np.intersect1d(whole, less)) <= 2 + len(s) // 4  # two subsets, and the first shingles of poor sets
+    n1 = int(partenum.partitions(np.array([7]))[0])
+    assert 2 * n1 > partenum.differ(255, 318)  # so at least one partition differs in one shingle at most
+
+
+def test_families_below_the_threshold_give_few_pairs(spark, monkeypatch):
+    """600 copies of a text, each too different from all others: no pair is compared but those with leaders."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 4000, 200)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for at in rng.choice(200, 9, replace=False):
+            copy[at] = f"e{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counts, stored = {}, partenum.cut
+
+    def counting(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "cut", counting)
+    check(docs, partenum.cluster(docs))
+    pairs = sum(n for name, n in counts.items() if name.startswith("near-pairs"))
+    assert 0 < pairs <= 4 * len(rows)
 
 
 def test_odd_rows(spark):
