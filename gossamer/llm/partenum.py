@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -45,8 +46,9 @@ SPARE, SPARE_PART = 2, 50
 MAX_ROUNDS, FEW_LINKS = 3, 0.05
 #: Sizes of sets fall into steps of this ratio where groups are split.
 STEP_RATIO = 1.05
-#: Classes that a task remembers as signed already.
-SEEN = 500_000
+#: Classes that a task remembers as signed already, and so many classes of a batch with one signature form a group of their own.
+SEEN, GATHER = 500_000, 8
+NAMES = ["key", "cls", "doc_id", "n"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -144,22 +146,19 @@ def class_of(s: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), len(s)), np.uint64).view(np.int64)) if len(s) else None
 
 
-def lists(values: list[np.ndarray]) -> pa.ListArray:
-    """Arrays of 64-bit numbers as a list column."""
-    ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-
-
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, sigs) of each row: cls is the hash of the set, null for an empty one.
-
-    A task gives a class's signatures with the first row it sees of it, so copies,
-    however many, add a row a task to the signatures' groups.
+    """(key, cls, doc_id, n) of two kinds, from one reading of the texts.
+
+    A row of each document, n its set's size, cls the set's hash, null for an empty
+    set; key is any number. And rows with null n: class cls has signature key. A task
+    signs a class with the first row it sees of it, so copies, however many, add
+    rows once a task. Where many classes of a batch have a signature, they form a
+    group of their own under a key of the batch, and only one class of the task goes
+    into the signature's group: groups meet through it, see ``cluster``.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Words(), set()
+        known, seen, stand_in = Words(), set(), {}
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # parts of a bounded number of shingles
@@ -169,20 +168,45 @@ def describe(docs: DataFrame) -> DataFrame:
                     size += len(sets[-1])
                     if size > 500_000:
                         break
-                cls = [class_of(s) for s in sets]
-                fresh, sigs = [], [np.empty(0, np.uint64)] * len(sets)
-                if len(seen) > SEEN:
+                ids, cls, fresh = batch.column(0).slice(at, len(sets)), [class_of(s) for s in sets], []
+                at += len(sets)
+                if len(seen) > SEEN or len(stand_in) > SEEN:
                     seen.clear()
-                for i, (c, known_id) in enumerate(zip(cls, batch.column(0).slice(at, len(sets)).is_valid().to_pylist(), strict=True)):
-                    if c is not None and known_id and c not in seen:
+                    stand_in.clear()
+                for i, (c, has_id) in enumerate(zip(cls, ids.is_valid().to_pylist(), strict=True)):
+                    if c is not None and has_id and c not in seen:
                         seen.add(c)
                         fresh.append(i)
-                for i, made in zip(fresh, signatures([sets[i] for i in fresh]), strict=True):
-                    sigs[i] = made
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(sigs)], names=["doc_id", "cls", "n", "sigs"])
-                at += len(sets)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, cls long, n long, sigs array<long>")
+                n = pa.array([len(s) for s in sets], pa.int32())
+                spread = mix(np.arange(len(sets), dtype=np.uint64) + np.uint64(len(seen))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(cls, pa.int64()), ids, n], names=NAMES)
+                if not fresh:
+                    continue
+                sigs = signatures([sets[i] for i in fresh])
+                of = np.repeat(np.array([cls[i] for i in fresh], np.int64), [len(x) for x in sigs])
+                key, of = gathered(np.concatenate(sigs), of, stand_in)
+                nulls = lambda kind: pa.nulls(len(key), kind)  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of), nulls(pa.int64()), nulls(pa.int32())], names=NAMES)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "key long, cls long, doc_id long, n int")
+
+
+def gathered(key: np.ndarray, of: np.ndarray, stand_in: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (signature, class) of a batch with frequent signatures' rows under keys of the batch, each with the one class that stands for them."""
+    found, where, count = np.unique(key, return_inverse=True, return_counts=True)
+    frequent = count >= GATHER
+    if not frequent.any():
+        return key, of
+    often = frequent[where]
+    batch = mix(of[:1].view(np.uint64) + np.uint64(0x7F4A7C15))
+    first = dict(zip(key[often][::-1].tolist(), of[often][::-1].tolist(), strict=True))
+    new = [k for k in first if k not in stand_in]
+    stand_in.update((k, first[k]) for k in new)
+    whole = np.array(list(first), np.uint64)
+    # A batch's group has its members and the class that stands in for them, which the task's first such batch put under the signature itself.
+    keys = [key[~often], mix(key[often] ^ batch), mix(whole ^ batch), np.array(new, np.uint64)]
+    classes = [of[~often], of[often], np.array([stand_in[k] for k in first], np.int64), np.array([first[k] for k in new], np.int64)]
+    return np.concatenate(keys), np.concatenate(classes)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,7 +236,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among ``members`` (cls, root) that sizes and rarest shingles don't rule out.
+    """Pairs (a, b) of different components among ``members`` (cls, n, root) that sizes and rarest shingles don't rule out.
 
     Shingles are ordered by how many members hold them. Similar sets of sizes n >= m
     share at least (n + m) * NUM / (NUM + DEN) shingles, so the first one they share
@@ -230,11 +254,10 @@ def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     rows = cut(texts.join(members.select("cls"), "cls", "left_semi").select("cls", "text").mapInArrow(task, "cls long, h long"), "member-shingles")
     shared = rows.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
-    sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
     held = rows.join(shared, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("held"))  # a document's own shingles
     least = lambda n: -F.floor(-(n * NUM) / DEN)
     # Shingles of its own come first; they take ``own`` positions.
-    listed = held.join(sizes, "cls").join(members, "cls").withColumn("own", F.col("n") - F.size("held"))
+    listed = held.join(members, "cls").withColumn("own", F.col("n") - F.size("held"))
     listed = listed.withColumn("first", F.greatest(F.lit(0), (F.col("n") - least(F.col("n")) + 1 - F.col("own")).cast("int"))).filter("first > 0")
     placed = listed.select("cls", "root", "n", "own", F.posexplode(F.expr("slice(held, 1, first)")).alias("at", "x"))
     placed = placed.select("cls", "root", "n", F.col("x.h").alias("h"), (F.col("own") + F.col("at") + 1).alias("p"))
@@ -253,9 +276,14 @@ def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def at_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with column cls and the root of its component; a class without links is its own."""
+    return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def spanning(groups: DataFrame, roots: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
     """(sig, cls, w, root) of the groups that hold several components, and the leader of each: the member of most ``weight``."""
-    rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", "w", F.coalesce("root", "cls").alias("root"))
+    rooted = at_roots(groups, roots)
     led = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.max(F.struct(weight.alias("by"), F.col("cls"), F.col("root"))).alias("leader")).filter("low <> top").select("sig", "leader")
     return rooted.join(led.select("sig"), "sig", "left_semi"), led
 
@@ -267,19 +295,19 @@ def cluster(docs: DataFrame) -> DataFrame:
     without id has no component. Rows that repeat an id are one document: what any
     of them links to, all do.
     """
-    described = cut(describe(docs), "shingle-sets")
+    by_key, signer = W.partitionBy("key"), F.when(F.col("n").isNull(), F.col("cls"))
+    met = {"low": F.min(signer), "top": F.max(signer), "all": F.sum(F.shiftrightunsigned(F.xxhash64(signer), 36)), "size": F.count(signer)}
+    # Of the rows of signatures, only groups of several classes stay.
+    stored = cut(describe(docs).withColumns({k: v.over(by_key) for k, v in met.items()}).filter("n is not null or low <> top"), "shingle-sets")
+    described = stored.filter("n is not null").select("doc_id", "cls", F.col("n").cast("long").alias("n"))
     linkable = described.filter("cls is not null and doc_id is not null")
-    classes = cut(linkable.groupBy("cls").agg(F.min("doc_id").alias("least")), "shingle-classes")
+    classes = cut(linkable.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "shingle-classes")
     # Sets that one id holds are linked through the least of them.
     repeats = linkable.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("top")).filter("a <> top")
     links = cut(linkable.select("doc_id", F.col("cls").alias("b")).join(repeats, "doc_id").filter("a <> b").select("a", "b").distinct(), "same-id-links")
-    # A row for each signature of each class; only groups of several classes stay.
-    signed = linkable.select("cls", F.explode("sigs").alias("sig"))
-    met = signed.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top"), F.sum(F.shiftrightunsigned(F.xxhash64("cls"), 36)).alias("all"), F.count("*").alias("size")).filter("low <> top")
     # Groups of the same classes say the same: of each set of members one stays, named by a hash of the set. Where
     # two sets had the same hash they would be one group, which only adds pairs to look at.
-    named = F.xxhash64("low", "top", "all", "size").alias("name")
-    groups = signed.join(met.select("sig", named, "size"), "sig").select(F.col("name").alias("sig"), "cls", "size").distinct()
+    groups = stored.filter("n is null").select(F.xxhash64("low", "top", "all", "size").alias("sig"), "cls", "size").distinct()
     groups = cut(groups, "signature-groups")
     weights = groups.groupBy("cls").agg(F.sum("size").alias("w"))
     groups = cut(groups.join(weights, "cls").select("sig", "cls", "w"), "weighed-groups")
@@ -291,7 +319,10 @@ def cluster(docs: DataFrame) -> DataFrame:
         open_groups, led = spanning(groups, roots, F.col("w") if not number else F.xxhash64("cls", F.lit(number)))
         split = number == MAX_ROUNDS or (number > 0 and n_links < FEW_LINKS * n_pairs)
         if split:
-            pairs = rare_pairs(cut(open_groups.select("cls", "root").distinct(), "open-classes"), texts)
+            # All classes of the components there: a signature's groups meet through one class of each.
+            open_roots, rooted = open_groups.select("root").distinct(), at_roots(groups.select("cls").distinct(), roots)
+            members = rooted.join(open_roots, "root", "left_semi").join(classes.select("cls", "n"), "cls").select("cls", "n", "root")
+            pairs = rare_pairs(cut(members, "open-classes"), texts)
         else:
             choice = open_groups.join(led, "sig").filter("root <> leader.root").groupBy("cls").agg(F.max("leader").alias("leader"))
             pairs = choice.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
@@ -306,8 +337,8 @@ def cluster(docs: DataFrame) -> DataFrame:
             roots = components(links)
         if not n_pairs:
             break
-    placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    placed = at_roots(classes, roots)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = placed.select("cls", "root").join(named, "root").select("cls", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return described.select("doc_id", "cls", "n").join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return described.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
