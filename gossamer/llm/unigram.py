@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -162,6 +163,8 @@ class Coder:
         self.pieces, self.pattern = pieces, pieces.chunk_pattern()
         # Room behind the last state and none at the first: steps need no test of their range.
         self.base, self.check, self.value = list(pieces.trie.base), [-2, *pieces.trie.check[1:], *[-2] * 256], list(pieces.trie.value)
+        #: No piece is longer, so a step reads no further: time grows in proportion to the text.
+        self.longest = max((len(n.encode()) for n, k in zip(pieces.names, pieces.kinds, strict=True) if k in (NORMAL, USER)), default=1)
         usable = [s for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
         self.unknown = (min(usable) if usable else 0.0) - UNKNOWN_PENALTY
         top = max(usable, default=0.0)
@@ -172,7 +175,7 @@ class Coder:
     def segment(self, chunk: str) -> list[int]:
         """Ids of the best segmentation. Of equal sums, the one whose last piece begins earlier."""
         raw = chunk.encode("utf-8", "replace")
-        n, base, check, value, scores = len(raw), self.base, self.check, self.value, self.scores
+        n, base, check, value, scores, longest = len(raw), self.base, self.check, self.value, self.scores, self.longest
         best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
@@ -182,7 +185,7 @@ class Coder:
             lead = raw[i]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             state, single, j = 0, False, i
-            for c in raw[i:]:
+            for c in raw[i : i + longest]:
                 to = base[state] + c
                 if check[to] != state:
                     break
@@ -262,7 +265,7 @@ class Coder:
         return text.replace(MARK, " ")
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def _coder(shared) -> Coder:
@@ -274,11 +277,11 @@ def _coder(shared) -> Coder:
 
 
 class _Shared:
-    """A broadcast with an id that survives pickling."""
+    """A broadcast with a name of its own that survives pickling."""
 
     def __init__(self, spark, pieces: Pieces):
         self.held = spark.sparkContext.broadcast(pieces)
-        self.id = id(self.held)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> Pieces:
@@ -288,7 +291,8 @@ class _Shared:
 def encode(docs: DataFrame, path: str = MODEL_FILE, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_tokens, n_byte_tokens, round_trip[, ids]).
 
-    Each row gives one, repeated or not; null and empty texts have no tokens. round_trip: decoding gives the
+    Each row gives one, repeated or not; null and empty texts have no tokens, long ones, with or without blanks, take
+    time and memory in proportion to their length. round_trip: decoding gives the
     text back (a text that holds the marker character itself, or lone surrogates, doesn't).
     """
     shared = _Shared(docs.sparkSession, Pieces.load(path))
