@@ -19,8 +19,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     give one record each; a null page_id is kept.
     """
     index = warc.write_archives(warc.roles(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
-    files = index.groupBy("archive").agg(F.count("*").alias("records"))
-    chunks = warc.read_chunks(files.repartition(F.col("archive")), with_bytes=False).filter("last")
+    files = index.select("archive").distinct()
+    # A task an archive; a fixed number, which adaptive execution doesn't merge though the rows are few.
+    chunks = warc.read_chunks(files.repartition(max(1, files.count())), with_bytes=False).filter("last")
     said = F.from_json("headers", "map<string,string>")
     head = lambda name: F.try_element_at("said", F.lit(name))
     revisit = F.col("record_type") == "revisit"

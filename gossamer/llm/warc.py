@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -35,8 +36,10 @@ CHUNK_SCHEMA = "archive string, record_no long, headers string, chunk_no long, c
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder given as URI or plain path."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """The file system and path of a folder given as URI or plain path. A scheme that pyarrow doesn't know is an error, never a local folder."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -136,15 +139,15 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _line(stream: io.BufferedReader) -> bytes:
-    """The next line without its CRLF; empty at the end of a header."""
-    return stream.readline(1 << 20).rstrip(b"\r\n")
+    """The next line, whatever its length, without its CRLF; empty at the end of a header."""
+    return stream.readline().rstrip(b"\r\n")
 
 
 def parse(stream: io.BufferedReader, chunk: int = CHUNK) -> Iterator[tuple[int, dict[str, str], int, bytes, int, str, bool]]:
     """(record number, headers, chunk number, bytes, bytes so far, digest so far, last) of each chunk of a WARC stream."""
     number = 0
     while True:
-        line = stream.readline(1 << 20)
+        line = stream.readline()
         if not line:
             return
         if not line.strip():
