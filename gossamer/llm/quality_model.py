@@ -105,9 +105,10 @@ def frequencies() -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most about ``max_rows`` labelled rows outside the held-out fold.
 
-    Each partition sums its part of the normal equations; the sums meet on the
-    driver (one matrix a partition, of at most 8). The ridge is fitted on three of
-    the four folds, the calibration on the fourth. doc_id serves for folds only.
+    Each partition sums its part of the normal equations, a matrix a fold; the sums
+    meet on the driver (at most 8 partitions, four folds). The ridge is fitted on
+    all four folds. For the calibration, every row is scored by the ridge of the
+    other three folds, at every size of the sample. doc_id serves for folds only.
     """
     fold = labelled.remainder(F.col("doc_id"), FOLDS)
     rows = labelled.sample(docs, labels, label, fold != HELD, max_rows, "quality")
@@ -129,23 +130,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     parts = min(8, math.ceil(found["n"] / 1000))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
         for b in batches:
             if b.num_rows:
                 z = model.lift(np.array(b.column(2).to_pylist()))
-                y = np.array(b.column(1).to_pylist(), float)
-                total += z.T @ np.hstack([z, y[:, None]])
+                y, at = np.array(b.column(1).to_pylist(), float), np.array(b.column(0).to_pylist())
+                for f in np.unique(at):
+                    total[f] += z[at == f].T @ np.hstack([z, y[:, None]])[at == f]
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-    few = found["n"] < 2000  # too few to set a fold aside
-    training = stored if few else stored.filter(F.col("fold") != FOLDS - 1)
-    parts_rows = training.repartition(parts).mapInArrow(sums, "sums array<double>").collect()
-    total = sum(np.array(r["sums"]) for r in parts_rows).reshape(FEATURES + 1, FEATURES + 2)
-    size = total[-1, -2]
-    model.weights = np.linalg.solve(total[:, :-1] + RIDGE * size * np.eye(FEATURES + 1) / FEATURES, total[:, -1])
-    calibration = (stored if few else stored.filter(F.col("fold") == FOLDS - 1)).select("y", "stats").collect()  # at most max_rows
-    if calibration:
-        model.knots = pav(model.raw(np.array([r["stats"] for r in calibration])), np.array([r["y"] for r in calibration]))
+    parts_rows = stored.repartition(parts).mapInArrow(sums, "sums array<double>").collect()
+    by_fold = sum(np.array(r["sums"]) for r in parts_rows).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+
+    def ridge(total: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(total[:, :-1] + RIDGE * max(1.0, total[-1, -2]) * np.eye(FEATURES + 1) / FEATURES, total[:, -1])
+
+    total = by_fold.sum(0)
+    others = np.stack([ridge(total - by_fold[f]) for f in range(FOLDS)])
+    model.weights = ridge(total)
+    rows = stored.select("fold", "y", "stats").collect()  # about max_rows at most
+    lifted = model.lift(np.array([r["stats"] for r in rows]))
+    model.knots = pav((lifted * others[[r["fold"] for r in rows]]).sum(1), np.array([r["y"] for r in rows]))
     return model
 
 
