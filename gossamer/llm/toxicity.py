@@ -337,8 +337,8 @@ def train(rows: list[tuple[str, int]], seed: int = 11, epochs: int = 4, least_st
                 table[rows_at] -= 0.002 * m[rows_at] / (np.sqrt(v[rows_at]) + 1e-4)
         epoch += 1
     net.trained = True
-    # Calibrate on texts that took no part; with few, on all.
-    held = check if len(check) >= 100 and len({y for _, y in check}) == 2 else docs
+    # Calibrate on texts that took no part; where those lack a class, on all.
+    held = check if len({y for _, y in check}) == 2 else docs
     top = Scorer(net).tops([" ".join(words) for words, _ in held])
     y = np.array([y for _, y in held], float)
     prior = y.mean() if prior is None else min(0.99, max(0.01, prior))
