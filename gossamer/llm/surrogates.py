@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PATTERNS
-from .common import cut
+from .common import cut, unused
 
 KEY = "gossamer"
 #: Draws of an entity before the rest is assigned by rank.
@@ -53,7 +53,7 @@ _BUILT_IN = {i: _narrowed(p) if i in ("german_postal_city", "german_street_house
 #: Kinds of search in order: of matches that begin at the same place, the first wins. They cover the
 #: catalogue's 43 patterns, but for runs of 15 capitals without a digit or "<", house numbers over 5 digits, and four numbers of a longer dotted run. Own runs are possessive; a look at the first characters comes first, as most places fail there.
 KINDS = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"),
     (
         "secret",
         r"(?=[0-9A-Fa-f]{8}|AKIA|gh[pousr]_|sk_live_|eyJ)" + _EDGE + r"(?:(?=\p{L}*\d)[0-9A-Fa-f]{32,}+"
@@ -427,26 +427,28 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, ...) with surrogates in the texts, and n_entities and entity_kinds.
 
     Texts without entities stay as they are, null ones too. Rows that repeat are
-    kept. Columns named n_entities or entity_kinds are replaced.
+    kept. Columns named n_entities or entity_kinds are replaced, all others stay,
+    whatever their names.
     """
     docs = docs.drop("n_entities", "entity_kinds")
     columns = docs.columns
-    found = docs.withColumn("pii_found", matches(F.col("text")))
-    hits = found.filter(F.size("pii_found") > 0).withColumn("pii_row", F.xxhash64("text")).withColumn("pii_size", F.length("text"))
+    at, row, size, table, kinds = unused(docs, "pii_found", "pii_row", "pii_size", "pii_map", "pii_kinds")
+    found = docs.withColumn(at, matches(F.col("text")))
+    hits = found.filter(F.size(at) > 0).withColumn(row, F.xxhash64("text")).withColumn(size, F.length("text"))
     hits = cut(hits, "pii-texts")
-    mention = F.explode(F.array_distinct("pii_found")).alias("m")
-    mentions = hits.select("pii_row", "pii_size", mention).withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("kind"), F.col("m")))
+    mention = F.explode(F.array_distinct(at)).alias("m")
+    mentions = hits.select(F.col(row).alias("pii_row"), F.col(size).alias("pii_size"), mention).withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical(F.col("kind"), F.col("m")))
     mentions = cut(mentions, "pii-mentions")
     surrogates = assign(mentions.select("kind", "canon").distinct(), key, widen=True)
     # A text's mentions and what stands for them; the same text needs it once.
     known = mentions.distinct().join(surrogates, ["kind", "canon"]).withColumn("put", render(F.col("kind"), F.col("m"), F.col("surrogate")))
-    of_text = known.groupBy("pii_row", "pii_size").agg(F.map_from_entries(F.collect_list(F.struct("m", "put"))).alias("pii_map"), F.collect_set("kind").alias("pii_kinds"))
+    of_text = known.groupBy(F.col("pii_row").alias(row), F.col("pii_size").alias(size)).agg(F.map_from_entries(F.collect_list(F.struct("m", "put"))).alias(table), F.collect_set("kind").alias(kinds))
     gaps = F.split("text", PATTERN, -1)
-    put = F.transform(F.concat("pii_found", F.array(F.lit(None).cast("string"))), lambda m: F.when(m.isNull(), "").otherwise(F.element_at(F.col("pii_map"), m)))
-    changed = hits.join(of_text, ["pii_row", "pii_size"], "left").select(
+    put = F.transform(F.concat(at, F.array(F.lit(None).cast("string"))), lambda m: F.when(m.isNull(), "").otherwise(F.element_at(F.col(table), m)))
+    changed = hits.join(of_text, [row, size], "left").select(
         *[F.array_join(F.zip_with(gaps, put, lambda a, b: F.concat(a, b)), "").alias("text") if c == "text" else F.col(c) for c in columns],
-        F.size("pii_found").cast("long").alias("n_entities"),
-        F.array_join(F.array_sort("pii_kinds"), ",").alias("entity_kinds"),
+        F.size(at).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(kinds), ",").alias("entity_kinds"),
     )
-    same = found.filter(F.size("pii_found") == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
+    same = found.filter(F.size(at) == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
     return same.unionByName(changed)
