@@ -13,3 +13,14 @@ def test_likelier_documents_are_taken_more_often(spark):
     rows = mixing.mix(sizes, chance=chance, weights=(1.0,), share=0.5).collect()
     extra = [sum(r.copies for r in rows if r.doc_id % 2 == k) for k in (0, 1)]
     assert abs(sum(extra) - 1_000) <= 1 and abs(extra[0] - 800) < 60 and abs(extra[1] - 200) < 60
+
+
+def test_longer_documents_are_taken_more_often(spark):
+    """Without ``chance``, inclusion is in proportion to ``appeal``: 300 for 100 words, 700 for 500."""
+    size = F.when(F.col("id") % 6 == 0, 500).otherwise(100).cast("long")
+    sizes = cut(spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), size.alias("size")), "sizes")
+    rows = mixing.mix(sizes, weights=(1.0,), share=0.3).collect()
+    long, short = [[r.copies for r in rows if r["size"] == n] for n in (500, 100)]
+    assert abs(sum(r.taken for r in rows) - 0.3 * sum(r["size"] for r in rows)) <= 500
+    ratio = (sum(long) / len(long)) / (sum(short) / len(short))
+    assert 2.0 < ratio < 2.7
