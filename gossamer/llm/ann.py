@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: The most vectors that the parts are learned from, the edges of each, the rows a part should have and the most parts.
-SAMPLE, DEGREE, ROWS_PER_PART, MAX_PARTS = 6_000, 10, 512, 64
+SAMPLE, DEGREE, ROWS_PER_PART, MAX_PARTS = 6_000, 10, 512, 512
 HIDDEN, EPOCHS = 64, 30
 #: Recall that routing must reach on held-out queries of the sample, and how many there are.
 TARGET, TRIALS = 0.96, 400
@@ -122,9 +122,9 @@ class Router:
         return np.argsort(-self.chances(x), axis=1, kind="stable")[:, : probes or self.probes] if self.parts > 1 else np.zeros((len(x), 1), np.int64)
 
 
-def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5) -> Router:
-    """A router from the sample x of a table of ``rows`` different vectors; one part if they are few."""
-    parts = 1 << max(0, min(int(math.log2(MAX_PARTS)), int(math.log2(max(1, rows / ROWS_PER_PART)))))
+def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5, rows_per_part: int = ROWS_PER_PART) -> Router:
+    """A router from the sample x of a table of ``rows`` different vectors; one part if they would fill less than two."""
+    parts = 1 << max(0, min(int(math.log2(MAX_PARTS)), int(math.log2(max(1, rows / rows_per_part)))))
     width = x.shape[1] if x.ndim == 2 else 0
     if parts == 1 or len(x) < 8 * parts:
         return Router(1, 1, np.zeros(width), 1.0, [])
@@ -176,18 +176,27 @@ def rank_block(queries: np.ndarray, rows: np.ndarray, k: int):
     return q, r, np.sqrt(((queries[q] - rows[r]) ** 2).sum(1))
 
 
-def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router: Router | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router: Router | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row (vec_id, embedding) for which ``is_query`` holds, itself excepted.
 
-    Null, zero or non-finite vectors, null ids and vectors of another length than
-    the most common one take no part. Rows that repeat id and vector count once;
-    an id with several vectors is found by each. Ties go to the smaller id.
+    Null, zero or non-finite vectors and null ids take no part. Vectors of different
+    lengths have no distance, so each length is searched by itself, with a router of
+    its own (``router`` is for those of its width). Rows that repeat id and vector
+    count once; an id with several vectors is found by each. Ties go to the smaller id.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = good.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.filter(F.size("embedding") == sizes[0]["size"])
+    widths = sorted(r["width"] for r in good.select(F.size("embedding").alias("width")).distinct().collect())  # a row a length
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = empty
+    for width in widths:
+        own = router if router is not None and len(router.mean) == width else None
+        of_width = search_width(good.filter(F.size("embedding") == width), is_query, width, nearest, own, rows_per_part)
+        found = of_width if found is empty else found.unionByName(of_width)
+    return found
+
+
+def search_width(good: DataFrame, is_query: Column, width: int, nearest: int, router: Router | None, rows_per_part: int) -> DataFrame:
+    """``search`` among usable vectors of one length."""
     # One row per different vector, with its smallest ids: no more can be among the nearest.
     same = W.partitionBy("embedding").orderBy("vec_id")
     smallest = good.distinct().withColumn("turn", F.row_number().over(same)).filter(F.col("turn") <= nearest + 1)
@@ -196,13 +205,13 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router:
         n = classes.count()
         scale = 1 << 30
         drawn = classes.filter(F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(scale)) < int(min(1.0, SAMPLE / max(1, n)) * scale)).select("embedding").toArrow()
-        sample = _matrix(drawn.column(0), sizes[0]["size"])
-        router = learn(sample[np.lexsort(sample.T)], n)
+        sample = _matrix(drawn.column(0), width)
+        router = learn(sample[np.lexsort(sample.T)], n, rows_per_part=rows_per_part)
     home = "rep long, part int"
 
     def place(batches, spread: bool):
         for b in batches:
-            x = _matrix(b.column(1), sizes[0]["size"])
+            x = _matrix(b.column(1), width)
             to = router.routes(x) if spread else router.home(x)[:, None]
             at = np.repeat(np.arange(len(x)), to.shape[1])
             rep = b.column(0).to_numpy(zero_copy_only=False)
@@ -210,9 +219,7 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router:
 
     homes = cut(classes.select("rep", "embedding").mapInArrow(lambda it: place(it, False), home), "ann-homes")
     counts = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
-    blocks = F.lit(1)
-    for p, c in counts.items():
-        blocks = F.when(F.col("part") == p, math.ceil(c / BLOCK)).otherwise(blocks)
+    blocks = F.element_at(F.array(*[F.lit(math.ceil(max(1, counts.get(p, 0)) / BLOCK)) for p in range(router.parts)]), F.col("part") + 1)
     stored = classes.join(homes, "rep").select("part", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"), "embedding", "ids")
     asking = good.filter(is_query).join(classes.select(F.col("embedding").alias("e"), "rep"), F.col("embedding") == F.col("e")).select("vec_id", "rep").distinct()
     asking = cut(asking, "ann-queries")
@@ -225,9 +232,9 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router:
         names = ["rep", "vec_id", "score"]
         if not len(queries) or not len(rows):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        x, ids = _matrix(rows.column("embedding"), sizes[0]["size"]), rows.column("ids").combine_chunks()
+        x, ids = _matrix(rows.column("embedding"), width), rows.column("ids").combine_chunks()
         offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        reps, y, out = queries.column("rep").to_numpy(), _matrix(queries.column("embedding"), sizes[0]["size"]), []
+        reps, y, out = queries.column("rep").to_numpy(), _matrix(queries.column("embedding"), width), []
         for lo in range(0, len(y), QUERIES):
             q, r, d = rank_block(y[lo : lo + QUERIES], x, k)
             many = offsets[r + 1] - offsets[r]

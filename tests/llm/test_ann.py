@@ -66,3 +66,27 @@ def test_partition_is_balanced():
     edges = np.stack([np.repeat(np.arange(500), 5), near.ravel()], 1)
     sizes = np.bincount(ann.partition(edges, 500, 8), minlength=8)
     assert sizes.max() - sizes.min() <= 2
+
+
+def test_search_goes_through_few_parts(spark):
+    """Clustered vectors: each query is ranked against less than half of the rows and still finds 0.9 of its neighbours."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (40, 12))
+    x = np.repeat(centres, 100, 0) + rng.normal(0, 0.1, (4_000, 12))
+    rows = [(int(i), [float(v) for v in x[i]]) for i in rng.permutation(len(x))]
+    router = ann.learn(x, len(x), rows_per_part=250)
+    assert router.parts == 16 and router.probes < router.parts
+    sizes = np.bincount(router.home(x), minlength=router.parts)
+    asked = router.routes(x[::100])
+    assert sizes[asked].sum(1).mean() < 0.5 * len(x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(ann.search(df, F.col("vec_id") % 100 == 0, router=router))
+    want = brute(rows, [i for i, _ in rows if i % 100 == 0])
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_every_length_is_searched(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(100 + i, [1.0, 2.0, float(i)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(ann.search(df, F.col("vec_id").isin(0, 100)))
+    assert [v for v, _ in got[0]] == list(range(1, 11)) and [v for v, _ in got[100]] == list(range(101, 111))
