@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import mixing, partenum, quality_model, surrogates, unigram
-from .common import cut
+from .common import cut, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.filter("n > 1").isEmpty():  # an id that several rows have stays once
         order = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        first = first.withColumn("gossamer_turn", F.row_number().over(order)).filter("gossamer_turn = 1").drop("gossamer_turn")
+        (turn,) = unused(docs, "gossamer_turn")
+        first = first.withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).drop(turn)
     return first.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
@@ -34,15 +35,16 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them: not at all, once or twice."""
-    key = docs.withColumns({"mix_size": mixing.size_of(F.col("text")), "mix_hash": F.xxhash64("text")})
-    nth = F.row_number().over(W.partitionBy("doc_id", "mix_hash").orderBy("source"))
-    small = cut(key.select("doc_id", "source", F.col("mix_size").alias("size"), "mix_hash").withColumn("mix_nth", nth), "mix-sizes")
-    taken = mixing.mix(small).filter("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mix_hash").alias("mix_other"), F.col("mix_nth").alias("mix_at"), "copies")
-    hashed = docs.withColumn("mix_hash", F.xxhash64("text"))
-    repeats = not small.filter("mix_nth > 1").isEmpty()
-    numbered = hashed.withColumn("mix_nth", nth if repeats else F.lit(1))
-    same = numbered["doc_id"].eqNullSafe(taken["mix_id"]) & (numbered["mix_hash"] == taken["mix_other"]) & (numbered["mix_nth"] == taken["mix_at"])
-    return numbered.join(taken, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    text_hash, at, mix_id, mix_other, mix_at, copies, copy = unused(docs, "mix_hash", "mix_nth", "mix_id", "mix_other", "mix_at", "mix_copies", "mix_copy")
+    nth = lambda name: F.row_number().over(W.partitionBy("doc_id", name).orderBy("source"))
+    sizes = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    small = cut(sizes.withColumn("nth", nth("hash")), "mix-sizes")
+    taken = mixing.mix(small).filter("copies > 0").select(F.col("doc_id").alias(mix_id), F.col("hash").alias(mix_other), F.col("nth").alias(mix_at), F.col("copies").alias(copies))
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    repeats = not small.filter("nth > 1").isEmpty()
+    numbered = hashed.withColumn(at, nth(text_hash) if repeats else F.lit(1))
+    same = numbered["doc_id"].eqNullSafe(taken[mix_id]) & (numbered[text_hash] == taken[mix_other]) & (numbered[at] == taken[mix_at])
+    return numbered.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
