@@ -20,6 +20,45 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+#: Full-width forms and the characters they stand for.
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+#: Elements that a fold appends to one array, before it begins another: appending copies the array.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. Java code is not generated for it, which keeps long expressions below the compiler's limit."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold_blocks(values: Column, kind: str, state: Column, step) -> Column:
+    """All that ``step`` (state, value) -> struct(put: array of ``kind``, state) puts, in order; time in proportion to the values."""
+    empty = lambda k: F.array().cast(f"array<{k}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda r: F.struct(F.concat(acc["put"], r["put"]).alias("put"), r["state"].alias("state")))
+
+    def block(acc: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(empty(kind).alias("put"), acc["state"].alias("state")), one)
+        return let(made, lambda m: F.struct(F.concat(acc["puts"], F.array(m["put"])).alias("puts"), m["state"].alias("state")))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(empty(f"array<{kind}>").alias("puts"), state.alias("state"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda a: a["puts"]))
+
+    return let(values, whole)
+
+
+def running_sums(sizes: Column) -> Column:
+    """For each of an array of ints the sum of those before it."""
+    return fold_blocks(sizes, "int", F.lit(0), lambda at, n: F.struct(F.array(at).alias("put"), (at + n).alias("state")))
+
+
+def starts_between(gaps: Column, sizes: Column) -> Column:
+    """Where each match begins, of the texts between matches and the matches' lengths."""
+    between = lambda g: running_sums(F.zip_with(F.transform(F.slice(g, F.lit(1), F.size(g) - 1), lambda x: F.length(x)), sizes, lambda a, b: a + b))
+    return let(gaps, lambda g: F.zip_with(between(g), F.slice(g, F.lit(1), F.size(g) - 1), lambda at, x: at + F.length(x)))
 
 
 def fold(x: Column) -> Column:
@@ -27,6 +66,12 @@ def fold(x: Column) -> Column:
     return F.translate(F.lower(x), ACCENTED, PLAIN)
 
 
+def fold_even(x: Column) -> Column:
+    """Folded character by character, so that places are those of ``x``; one that folds to several gives its first."""
+    chars = F.filter(F.split(x, ""), lambda c: c != "")
+    return F.when(F.length(F.lower(x)) == F.length(x), fold(x)).otherwise(F.array_join(F.transform(chars, lambda c: F.substr(fold(c), F.lit(1), F.lit(1))), ""))
+
+
 def comparable(x: Column) -> Column:
     """Folded letters and digits only."""
     return F.regexp_replace(fold(x), r"[^\p{L}\p{N}]", "")
@@ -39,7 +84,7 @@ def compact_ascii(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """Runs of white space become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def normalize_native(x: Column) -> Column:
@@ -95,7 +140,9 @@ def translate_range(start: Column, end: Column, where: Column, size: Column) ->
     return F.when(n == 0, F.struct(start.alias("start"), end.alias("end"))).otherwise(F.struct(begin.alias("start"), stop.alias("end")))
 
 
-SPACED_RUN = r"(?u)(?:\b[\p{L}\p{N}]\s+){3,}[\p{L}\p{N}]\b"
+#: Fixed value in what it matches: four or more single letters or digits with white space between. Possessive, so that
+#: a long run needs no stack.
+SPACED_RUN = r"(?u)(?:\b[\p{L}\p{N}]\s++(?=[\p{L}\p{N}]\b)){3,}+[\p{L}\p{N}]"
 
 
 def needs_ocr(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, let
 from . import extract, spans as algebra
 
 # A category's placeholder name.
@@ -82,7 +82,7 @@ def detect(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataF
     if model_spans is not None:
         found = model_spans.select(*[F.col(c) if c in model_spans.columns else F.lit(None).cast("string").alias(c) for c in extract.SPAN_COLUMNS]).withColumn("ord", F.col("ord") - 1_000_000).unionByName(found)
     # Spans of one pattern keep the order of the text.
-    return algebra.post_process(found.withColumn("ord", F.col("ord").cast("long") * 10_000_000 + F.col("start")))
+    return algebra.post_process(found.withColumn("ord", F.shiftleft(F.col("ord").cast("long"), 32) + F.col("start")))
 
 
 def anonymize_text(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataFrame | None = None, rows=None) -> DataFrame:
@@ -103,11 +103,12 @@ def latest_session(sessions: DataFrame, key: str = "user_id") -> DataFrame:
 
 def placeholder_pattern(placeholder: Column) -> Column:
     """A tolerant expression for a placeholder: any case, brackets or none, other separators."""
-    inner = F.regexp_replace(placeholder, r"^\[|\]$", "")
-    parts = F.split(inner, "_", 2)
+    inner = F.regexp_replace(placeholder, r"^[\[\]]+|[\[\]]+$", "")
+    parts = F.split(F.regexp_replace(inner, "^_+", ""), "_", 2)
     quoted = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
     tolerant = F.concat(F.lit(r"(?i)\[?\s*"), quoted(F.get(parts, F.lit(0))), F.lit(r"\s*[-_ ]\s*"), quoted(F.get(parts, F.lit(1))), F.lit(r"\s*\]?"))
-    return F.when(F.size(parts) < 2, F.concat(F.lit("(?i)"), quoted(placeholder))).otherwise(tolerant)
+    plain = F.concat(F.lit(r"(?i)\[?\s*"), quoted(inner), F.lit(r"\s*\]?"))
+    return F.when((F.size(parts) < 2) | (F.get(parts, F.lit(1)) == ""), plain).otherwise(tolerant)
 
 
 def _ordered(placeholders: Column) -> Column:
@@ -130,15 +131,15 @@ def restore(text: Column, placeholders: Column) -> Column:
     return F.get(F.transform(F.array(done), lambda d: F.struct(d["text"].alias("restored_text"), d["n"].alias("replacement_count"), left(d["text"]).alias("unresolved"))), F.lit(0))
 
 
+#: Fixed value: what looks like a placeholder.
 TOKEN = r"(?i)\[?\s*[A-ZÄÖÜa-zäöü]+\s*[-_ ]\s*\d+\s*\]?"
 
 
 def suspicious_tokens(text: Column, placeholders: Column) -> Column:
-    """Tokens that look like one of the expected placeholders; distinct, sorted."""
-    bare = lambda t: F.regexp_replace(F.regexp_replace(F.upper(t), r"[\[\]\s]", " "), r"^ +| +$", "")
-    canonical = lambda t: F.concat(F.lit("["), F.regexp_replace(bare(t), r" *[-_ ] *", "_"), F.lit("]"))
-    expected = F.transform(F.map_keys(placeholders), lambda k: F.upper(k))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.array_contains(expected, canonical(t))), lambda t: F.trim(t))))
+    """Tokens, as they stand in the text, that look like one of the expected placeholders; distinct, sorted."""
+    canonical = lambda t: F.regexp_replace(F.regexp_replace(F.upper(t), r"[\[\]\s_-]+", "_"), "^_|_$", "")
+    expected = F.transform(F.map_keys(placeholders), canonical)
+    return let(expected, lambda e: F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.array_contains(e, canonical(t))))))
 
 
 def restore_status(count: Column, unresolved: Column, suspicious: Column) -> Column:

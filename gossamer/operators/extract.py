@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import PLAIN, ACCENTED, fold
+from ..functions.text import NARROW, WIDE, fold, let, starts_between
 
 SPAN_COLUMNS = ("doc_id", "ord", "pattern", "category", "text", "start", "end", "confidence", "source")
 
@@ -21,6 +21,7 @@ def found_patterns(text: Column, rows=None) -> Column:
     """array<struct(ord, id, category, regex, m)> of the patterns that match, m being all matches in order."""
     parts = []
     for ord_, name, category, regex in rows or P.everything():
+        regex = P.executed(regex)
         all_of = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
         able = _able(text, name)
         if able is not None:  # a cheap look saves the search
@@ -29,91 +30,128 @@ def found_patterns(text: Column, rows=None) -> Column:
     return F.filter(F.array(*parts), lambda p: F.size(p["m"]) > 0)
 
 
-def _length(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda acc, s: acc + F.length(s))
-
-
 def pattern_spans(docs: DataFrame, rows=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """All matches in (doc_id, text) rows, with offsets; row-local, so it also runs on a stream.
 
     Texts are split only by patterns that have matches. ``keep`` columns go along. A null
     text has no spans.
     """
-    seen = docs.select("doc_id", *keep, "text", F.col("text").rlike("[0-9]").alias("_digit")).filter(F.col("text").isNotNull())
+    seen = docs.select("doc_id", *keep, "text", F.col("text").rlike(r"\p{Nd}").alias("_digit")).filter(F.col("text").isNotNull())
     hit = seen.select("doc_id", *keep, "text", F.explode(found_patterns(F.col("text"), rows)).alias("p"))
-    parts = hit.select("doc_id", *keep, "p", F.expr("split(text, p.regex, -1)").alias("gaps"))
-    each = parts.select("doc_id", *keep, "p", "gaps", F.posexplode("p.m").alias("i", "text"))
-    start = _length(F.slice("gaps", F.lit(1), F.col("i") + 1)) + _length(F.slice(F.col("p.m"), F.lit(1), F.col("i")))
+    # One pass over a pattern's matches gives their places; only these go on, a row a match.
+    starts = starts_between(F.expr("split(text, p.regex, -1)"), F.transform(F.col("p.m"), lambda m: F.length(m)))
+    places = F.zip_with(F.col("p.m"), starts, lambda m, s: F.struct(m.alias("text"), s.alias("start")))
+    parts = hit.select("doc_id", *keep, F.col("p.ord").alias("ord"), F.col("p.id").alias("pattern"), F.col("p.category").alias("category"), places.alias("x"))
+    each = parts.select("doc_id", *keep, "ord", "pattern", "category", F.explode("x").alias("x"))
     return each.select(
         "doc_id",
         *keep,
-        F.col("p.ord").alias("ord"),
-        F.col("p.id").alias("pattern"),
-        F.col("p.category").alias("category"),
-        "text",
-        start.alias("start"),
-        (start + F.length("text")).alias("end"),
+        "ord",
+        "pattern",
+        "category",
+        F.col("x.text").alias("text"),
+        F.col("x.start").alias("start"),
+        (F.col("x.start") + F.length("x.text")).alias("end"),
         F.lit(P.CONFIDENCE).alias("confidence"),
         F.lit("pattern").alias("source"),
     )
 
 
-def _compact_key(x: Column) -> Column:
-    return F.regexp_replace(fold(x), r"[^\p{L}\p{N}]", "")
+#: Up to so many literals are compared with every text; more are joined by their first characters.
+FEW_LITERALS = 1_000
+
+
+def _normal(x: Column) -> Column:
+    """Lower case, ss for ß, no diacritics, no full-width forms."""
+    return F.translate(F.replace(fold(x), F.lit("ß"), F.lit("ss")), WIDE, NARROW)
+
+
+def _normal_literal(x: Column) -> Column:
+    """``_normal``, and a street's type spelled out."""
+    return F.replace(F.replace(_normal(x), F.lit("str."), F.lit("strasse")), F.lit("str "), F.lit("strasse "))
+
+
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
 
 
 def distinct_literals(customs: DataFrame) -> DataFrame:
-    """Custom patterns (label, value, category) to search for: trimmed, not empty, each once by folded category and compacted value."""
-    rows = customs.select(F.trim("value").alias("value"), F.coalesce("category", F.lit("custom_identifier")).alias("category")).filter("value <> ''")
-    key = W.partitionBy(F.lower("category"), _compact_key(F.col("value"))).orderBy("value")
-    return rows.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n")
+    """Custom patterns (label, value, category) to search for: trimmed, not empty, each once by folded category and compacted value.
+
+    Of equal ones the first by column ``ord`` stays, without such a column the smallest value.
+    """
+    order = F.col("ord") if "ord" in customs.columns else F.col("value")
+    rows = customs.select(collapse_ends(F.col("value")).alias("value"), F.coalesce("category", F.lit("custom_identifier")).alias("category"), order.alias("_o")).filter("value <> ''")
+    key = W.partitionBy(fold(collapse_ends(F.col("category"))), _bare(_normal_literal(F.col("value")))).orderBy("_o", "value")
+    return rows.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n", "_o")
 
 
-def _char_map(text: Column, keep_char) -> tuple[Column, Column]:
-    """The text rewritten character by character, and for each character written the index it came from."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    written = F.transform(chars, keep_char)
-    where = F.flatten(F.transform(written, lambda w, i: F.array_repeat(i, F.length(w))))
-    return F.array_join(written, ""), where
+def collapse_ends(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def _literal_norm_char(c: Column) -> Column:
-    return F.when(F.lower(c) == "ß", "ss").otherwise(F.translate(F.lower(c), ACCENTED, PLAIN))
+def _char_map(text: Column, written) -> Column:
+    """struct(text, at): the text rewritten character by character (``written`` of the characters and an index), and for each character written the index it came from."""
 
+    def rewrite(chars: Column) -> Column:
+        put = F.transform(chars, lambda c, i: written(chars, c, i))
+        return let(put, lambda p: F.struct(F.array_join(p, "").alias("text"), F.flatten(F.transform(p, lambda w, i: F.array_repeat(i, F.length(w)))).alias("at")))
 
-def _hits(haystack: Column, needle: Column) -> Column:
-    """Starts of the matches of a literal, left to right, not overlapping."""
-    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # a literal may hold the end of a quotation
-    gaps = F.split(haystack, F.concat(F.lit("\\Q"), quoted, F.lit("\\E")), -1)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(gaps) - 1),
-        lambda i: _length(F.slice(gaps, F.lit(1), i)) + (i - 1) * F.length(needle),
-    )
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), rewrite)
+
+
+def _quoted(needle: Column) -> Column:
+    """An expression for a literal, which may hold the end of a quotation."""
+    return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def _hits(haystack: Column, pattern: Column) -> Column:
+    """array<struct(s, e)>: the places of an expression's matches, left to right, not overlapping."""
+    sizes = lambda m: F.transform(m, lambda x: F.length(x))
+    return let(F.regexp_extract_all(haystack, pattern, F.lit(0)), lambda m: F.zip_with(starts_between(F.split(haystack, pattern, -1), sizes(m)), sizes(m), lambda s, n: F.struct(s.alias("s"), (s + n).alias("e"))))
+
+
+def _pairs(looked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts (_compact, ...) with the literals (first, second, ...) whose compacted spelling they hold, each pair once."""
+    holds, also = F.contains("_compact", "first"), F.contains("_compact", "second")
+    if wanted.limit(FEW_LITERALS + 1).count() <= FEW_LITERALS:
+        return looked.join(F.broadcast(wanted), holds | also)
+
+    def grams(chars: Column) -> Column:
+        of = lambda c, i: F.array(c, F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))), F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit("")), F.coalesce(F.get(chars, i + 2), F.lit(""))))
+        return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(chars, of))))
+
+    key = lambda c: F.substr(F.col(c), F.lit(1), F.lit(3))
+    by_first = wanted.withColumn("_key", key("first")).withColumn("_turn", F.lit(1))
+    by_second = wanted.filter("first <> second").withColumn("_key", key("second")).withColumn("_turn", F.lit(2))
+    keyed = looked.withColumn("_key", F.explode(let(F.filter(F.split("_compact", ""), lambda c: c != ""), grams)))
+    return keyed.join(by_first.unionByName(by_second), "_key").filter(F.when(F.col("_turn") == 1, holds).otherwise(also & ~holds)).drop("_key", "_turn")
 
 
 def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Places of the user's literals: as written but for case; only if there are none, without diacritics and spelling of streets; only if still none, letters and digits alone.
+    """Places of the user's literals: as written but for case; only if there are none, without diacritics, width and spelling of streets; only if still none, letters and digits alone.
 
-    The literals' table is a small dimension; the join is bounded by its size, and a
-    first look at compacted text leaves few pairs.
+    Few literals are compared with every text, more meet texts by their first three
+    letters or digits; in both cases only texts that hold the compacted literal go on.
     """
-    wanted = distinct_literals(customs).select("category", F.col("value").alias("needle"))
-    wanted = wanted.withColumn("compact", F.regexp_replace(F.replace(_compact_key(F.col("needle")), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", ""))
-    street = F.regexp_replace(F.replace(fold(F.col("needle")), F.lit("ß"), F.lit("ss")), r"str(?:\.| )", "strasse")
-    wanted = wanted.withColumn("plain", F.trim(F.regexp_replace(street, r"\s+", " "))).withColumn("compact2", F.regexp_replace("plain", r"[^\p{L}\p{N}]", ""))
+    plain = _normal_literal(F.col("value"))
+    wanted = distinct_literals(customs).select("category", F.col("value").alias("needle"), plain.alias("plain"), _bare(_normal(F.col("value"))).alias("first"), _bare(plain).alias("second"))
     text = docs.filter(F.col("text").isNotNull()).select("doc_id", *keep, "text")
-    looked = text.withColumn("_compact", F.regexp_replace(F.replace(fold(F.col("text")), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", ""))
-    pair = looked.join(wanted, F.contains(F.lower("text"), F.lower("needle")) | F.contains("_compact", "compact2") | ((F.col("compact") != "") & F.contains("_compact", "compact")))
-    one = F.when(F.contains(F.lower("text"), F.lower("needle")), F.transform(_hits(F.lower("text"), F.lower("needle")), lambda s: F.struct(s.alias("s"), (s + F.length("needle")).alias("e"))))
-    spaced, where = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"\s"), " ").otherwise(_literal_norm_char(c)))
-    bare, where_bare = _char_map(F.col("text"), lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), _literal_norm_char(c)).otherwise(""))
-
-    def mapped(found: Column, size: Column, at: Column) -> Column:
-        return F.transform(found, lambda s: F.struct(F.get(at, s).alias("s"), (F.get(at, s + size - 1) + 1).alias("e")))
-
-    two = F.when(F.contains(spaced, F.col("plain")) & (F.col("plain") != ""), mapped(_hits(spaced, F.col("plain")), F.length("plain"), where))
-    three = F.when(F.contains(bare, F.col("compact2")) & (F.col("compact2") != ""), mapped(_hits(bare, F.col("compact2")), F.length("compact2"), where_bare))
-    places = pair.select("doc_id", *keep, "category", "text", F.explode(F.coalesce(one, two, three)).alias("r"))
+    pair = _pairs(text.withColumn("_compact", _bare(_normal(F.col("text")))), wanted)
+    # Blanks of a run count as one, none at the beginning.
+    blank = lambda c: c.rlike(r"(?U)^\s$")
+    spaced = _char_map(F.col("text"), lambda chars, c, i: F.when(blank(c), F.when((i == 0) | blank(F.get(chars, F.greatest(i - 1, F.lit(0)))), "").otherwise(" ")).otherwise(_normal(c)))
+    bare = _char_map(F.col("text"), lambda chars, c, i: _bare(_normal(c)))
+
+    def mapped(written: Column, needle: Column) -> Column:
+        return let(written, lambda w: F.transform(_hits(w["text"], _quoted(needle)), lambda h: F.struct(F.get(w["at"], h["s"]).alias("s"), (F.get(w["at"], h["e"] - 1) + 1).alias("e"))))
+
+    found = lambda hits: F.filter(hits, lambda h: h["e"] > h["s"])
+    one = found(_hits(F.col("text"), F.concat(F.lit("(?iu)"), _quoted(F.col("needle")))))
+    two, three = found(mapped(spaced, F.col("plain"))), F.when(F.col("second") != "", found(mapped(bare, F.col("second"))))
+    first = let(one, lambda a: F.when(F.size(a) > 0, a).otherwise(let(two, lambda b: F.when(F.size(b) > 0, b).otherwise(three))))
+    places = pair.select("doc_id", *keep, "category", "text", F.explode(first).alias("r"))
     return places.select(
         "doc_id",
         *keep,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as is_
-from ..functions.text import collapse, comparable, fold
+from ..functions.text import collapse, comparable, fold, let, running_sums
 
 CHAR_WIDTH, LINE_STEP, LINE_HEIGHT = 6.0, 14.0, 12.0
 
@@ -15,24 +15,15 @@ def join_lines(ocr_lines: DataFrame, page=("doc_id", "page_index")) -> DataFrame
     """(page..., text, starts): recognised lines by line_no joined with line feeds, and where each begins."""
     lists = ocr_lines.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     texts = F.transform("l", lambda x: x["text"])
-
-    def step(acc: Column, t: Column) -> Column:
-        return F.struct(F.concat(acc["s"], F.array(acc["at"])).alias("s"), (acc["at"] + F.length(t) + 1).alias("at"))
-
-    starts = F.aggregate(texts, F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("at")), step, lambda a: a["s"])
+    starts = running_sums(F.transform(texts, lambda t: F.length(t) + 1))
     return lists.select(*page, F.array_join(texts, "\n").alias("text"), starts.alias("starts"))
 
 
 def text_lines(docs: DataFrame, page=("doc_id",)) -> DataFrame:
     """(page..., line_no, line, line_start, line_end): a row per line of a text."""
-    lines = F.split("text", "\n", -1)
-
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"]
-        return F.struct(F.concat(acc["l"], F.array(F.struct(t.alias("line"), begin.alias("line_start"), (begin + F.length(t)).alias("line_end")))).alias("l"), (begin + F.length(t) + 1).alias("at"))
-
-    start = F.struct(F.array().cast("array<struct<line:string,line_start:int,line_end:int>>").alias("l"), F.lit(0).alias("at"))
-    return docs.select(*page, F.posexplode(F.aggregate(lines, start, step, lambda a: a["l"])).alias("line_no", "x")).select(*page, "line_no", "x.*")
+    row = lambda t, begin: F.struct(t.alias("line"), begin.alias("line_start"), (begin + F.length(t)).alias("line_end"))
+    lines = let(F.split("text", "\n", -1), lambda v: F.zip_with(v, running_sums(F.transform(v, lambda t: F.length(t) + 1)), row))
+    return docs.select(*page, F.posexplode(lines).alias("line_no", "x")).select(*page, "line_no", "x.*")
 
 
 def grid_box(line_no: Column, n_lines: Column, column: Column, width: Column) -> Column:

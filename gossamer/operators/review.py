@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold_even
 
 STATES = ("pending", "accepted", "rejected")
 
@@ -49,11 +49,13 @@ def recents(opened: DataFrame, keep: int = 8, owner: str | None = None) -> DataF
 
 def keyword_in_context(texts: DataFrame, query: str, section: str = "text", around: int = 28, most: int = 6, key: str = "doc_id") -> DataFrame:
     """(key, section, at, snippet): the first places of a query without case and diacritics, with what stands around them."""
-    needle = fold(F.lit(query.strip()))
-    gaps = F.split(fold(F.col("text")), F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    needle = fold_even(F.lit(query.strip()))
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     size = F.length(needle)
-    hits = texts.filter(F.contains(fold(F.col("text")), needle) & (size > 0)).select(key, "text", gaps.alias("_g"))
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_g") - 1, F.lit(most))), lambda i: F.aggregate(F.slice("_g", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)) + (i - 1) * size)
+    # The places are those of the text itself, so each character must fold to one.
+    gaps = F.split(fold_even(F.col("text")), quoted, most + 1)
+    hits = texts.filter(F.contains(fold_even(F.col("text")), needle) & (size > 0)).select(key, "text", gaps.alias("_g"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("_g") - 1), lambda i: F.aggregate(F.slice("_g", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)) + (i - 1) * size)
     each = hits.select(key, "text", F.posexplode(starts).alias("at", "s"))
     begin, stop = F.greatest(F.lit(0), F.col("s") - around), F.least(F.length("text"), F.col("s") + size + around)
     snippet = F.concat(F.when(begin > 0, "…").otherwise(""), F.substr("text", begin + 1, stop - begin), F.when(stop < F.length("text"), "…").otherwise(""))
@@ -73,7 +75,7 @@ def diagnostics_search(entries: DataFrame, findings: DataFrame, query: str, most
 
 def report(findings: DataFrame) -> DataFrame:
     """(doc_id, report): one line per finding by place."""
-    line = F.format_string("[%s] %s · %s · %d-%d · %d%%", "source", "category", "text", "start", "end", F.floor(F.col("confidence") * 100 + 1e-9).cast("int"))
+    line = F.format_string("[%s] %s · %s · %d-%d · %d%%", "source", "category", "text", "start", "end", F.floor(F.col("confidence") * 100).cast("int"))
     rows = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", line.alias("l")))).alias("l"))
     return rows.select("doc_id", F.array_join(F.transform("l", lambda x: x["l"]), "\n").alias("report"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import predicates as is_
-from ..functions.text import clean_span, comparable, fold
+from ..functions.text import BLOCK, clean_span, comparable, fold, let
 
 PAGE = ("doc_id",)
 
@@ -43,8 +43,9 @@ def drop_reason(category: Column, text: Column, source: Column) -> Column:
 def judged(spans: DataFrame) -> DataFrame:
     """Spans with cleaned text, the reason to drop them and the category they end in."""
     cleaned = spans.withColumn("text", clean_span(F.col("text")))
-    category = F.when((F.col("category") == "account_number") & is_.postal_city(F.col("text")), "private_address").otherwise(F.col("category"))
-    return cleaned.withColumn("drop_reason", drop_reason(F.col("category"), F.col("text"), F.col("source"))).withColumn("category", category)
+    # The rules in generated code would be over the compiler's limit and keep the whole stage from being compiled.
+    reason = let(F.struct(F.col("category").alias("c"), F.col("text").alias("t"), F.col("source").alias("s")), lambda x: drop_reason(x["c"], x["t"], x["s"]))
+    return cleaned.withColumn("drop_reason", reason).withColumn("category", let(F.struct(F.col("text").alias("t"), F.col("category").alias("c")), lambda x: F.when((x["c"] == "account_number") & is_.postal_city(x["t"]), "private_address").otherwise(x["c"])))
 
 
 def sanitize(spans: DataFrame) -> DataFrame:
@@ -96,13 +97,21 @@ def post_process(spans: DataFrame, page=PAGE) -> DataFrame:
 def select_disjoint(found: Column) -> Column:
     """Of an array of structs (start, end, confidence, ...) those that a pass by start, length and confidence takes without overlap."""
     ordered = F.array_sort(F.filter(F.transform(found, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["confidence"]).alias("c"), s.alias("s"))), lambda x: x["s"]["end"] > x["s"]["start"]))
-    start = F.struct(F.filter(found, lambda s: F.lit(False)).alias("taken"), F.lit(-1).alias("last"))
+    none = F.filter(found, lambda s: F.lit(False))
 
     def step(acc: Column, x: Column) -> Column:
         free = x["s"]["start"] >= acc["last"]
         return F.when(free, F.struct(F.concat(acc["taken"], F.array(x["s"])).alias("taken"), x["s"]["end"].alias("last"))).otherwise(acc)
 
-    return F.aggregate(ordered, start, step, lambda a: a["taken"])
+    def block(acc: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(none.alias("taken"), acc["last"].alias("last")), step)
+        return let(made, lambda m: F.struct(F.concat(acc["parts"], F.array(m["taken"])).alias("parts"), m["last"].alias("last")))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.struct(F.filter(F.array(none), lambda s: F.lit(False)).alias("parts"), F.lit(-1).alias("last")), block, lambda a: F.flatten(a["parts"]))
+
+    return let(ordered, whole)
 
 
 def non_overlapping(spans: DataFrame, page=PAGE) -> DataFrame:

@@ -38,7 +38,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def found(docs: DataFrame, rows=None) -> DataFrame:
     """Matches of the portable patterns, or of ``rows``, in order of arrival."""
     raw = extract.pattern_spans(docs, rows or P.portable())
-    return raw.withColumn("ord", F.col("ord").cast("long") * 10_000_000 + F.col("start"))
+    return raw.withColumn("ord", F.shiftleft(F.col("ord").cast("long"), 32) + F.col("start"))
 
 
 def merged(docs: DataFrame, rows=None) -> DataFrame:
