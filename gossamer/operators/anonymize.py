@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, let
-from . import extract, spans as algebra
+from . import extract, layout, spans as algebra
 
 # A category's placeholder name.
 BASES = {
@@ -85,6 +85,11 @@ def detect(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataF
     return algebra.post_process(found.withColumn("ord", F.shiftleft(F.col("ord").cast("long"), 32) + F.col("start")))
 
 
+def detect_documents(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataFrame | None = None, rows=None) -> DataFrame:
+    """``detect`` for texts of documents: without what belongs to a page's head or sender."""
+    return layout.suppress_headers(detect(docs, customs, model_spans, rows), docs)
+
+
 def anonymize_text(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataFrame | None = None, rows=None) -> DataFrame:
     """Detection, selection and placeholders in one."""
     return anonymize(docs, algebra.non_overlapping(detect(docs, customs, model_spans, rows)))

@@ -514,3 +514,9 @@ def placeholder_mapping_everything(spark, sf):
 def anonymized_text_everything(spark, sf):
     docs = documents(spark, sf)
     return anonymize.anonymize(docs, chosen(docs, P.everything())).select("doc_id", "anonymized_text", "replacement_count")
+
+
+from . import cases  # noqa: E402  registers its queries here
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES
