@@ -29,6 +29,7 @@ TARGET, TRIALS = 0.96, 400
 #: Rows of a part that one task ranks queries against, and queries that it ranks at once.
 BLOCK, QUERIES = 4096, 256
 NEAREST, EVERY = 10, 100
+RANKED = pa.schema([("rep", pa.int64()), ("part", pa.int32()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
 
 
 def usable(vector: Column) -> Column:
@@ -229,12 +230,12 @@ def search_width(good: DataFrame, is_query: Column, width: int, nearest: int, ro
     k = nearest + 1
 
     def rank(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["rep", "vec_id", "score"]
+        """A row a query with the list of its k nearest here."""
         if not len(queries) or not len(rows):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return RANKED.empty_table()
         x, ids = _matrix(rows.column("embedding"), width), rows.column("ids").combine_chunks()
         offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        reps, y, out = queries.column("rep").to_numpy(), _matrix(queries.column("embedding"), width), []
+        reps, part, y, out = queries.column("rep").to_numpy(), queries.column("part")[0], _matrix(queries.column("embedding"), width), []
         for lo in range(0, len(y), QUERIES):
             q, r, d = rank_block(y[lo : lo + QUERIES], x, k)
             many = offsets[r + 1] - offsets[r]
@@ -243,12 +244,16 @@ def search_width(good: DataFrame, is_query: Column, width: int, nearest: int, ro
             order = np.lexsort((vec, d[at], q[at]))
             first = np.searchsorted(q[at][order], q[at][order])
             kept = order[np.arange(len(order)) - first < k]
-            out.append((reps[lo + q[at][kept]], vec[kept], d[at][kept]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    found = routed.groupBy("part", "block").cogroup(stored.groupBy("part", "block")).applyInArrow(rank, "rep long, vec_id long, score double")
-    best = found.withColumn("turn", F.row_number().over(W.partitionBy("rep").orderBy("score", "vec_id"))).filter(F.col("turn") <= k)
-    lists = best.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
+            n = len(y[lo : lo + QUERIES])
+            ends = np.searchsorted(q[at][kept], np.arange(n + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(d[at][kept]), pa.array(vec[kept])], names=["score", "vec_id"])
+            out.append(pa.record_batch([pa.array(reps[lo : lo + n]), pa.array([part.as_py()] * n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema=RANKED))
+        return pa.Table.from_batches(out)
+
+    found = routed.groupBy("part", "block").cogroup(stored.groupBy("part", "block")).applyInArrow(rank, "rep long, part int, found array<struct<score:double,vec_id:long>>")
+    # Lists of k meet by part, then by query: no list is longer than k times a part's blocks or a query's parts.
+    nearest_of = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
+    lists = found.groupBy("rep", "part").agg(nearest_of).groupBy("rep").agg(nearest_of)
     told = asking.join(lists, "rep").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("vec_id")), 1, nearest).alias("found"))
     return told.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
 
