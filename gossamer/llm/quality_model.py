@@ -137,10 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
                 y, at = np.array(b.column(1).to_pylist(), float), np.array(b.column(0).to_pylist())
                 for f in np.unique(at):
                     total[f] += z[at == f].T @ np.hstack([z, y[:, None]])[at == f]
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts_rows = stored.repartition(parts).mapInArrow(sums, "sums array<double>").collect()
-    by_fold = sum(np.array(r["sums"]) for r in parts_rows).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    by_fold = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
+    for r in stored.repartition(parts).mapInArrow(sums, "sums binary").toLocalIterator():
+        by_fold += np.frombuffer(r["sums"]).reshape(by_fold.shape)
 
     def ridge(total: np.ndarray) -> np.ndarray:
         return np.linalg.solve(total[:, :-1] + RIDGE * max(1.0, total[-1, -2]) * np.eye(FEATURES + 1) / FEATURES, total[:, -1])
@@ -148,9 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     total = by_fold.sum(0)
     others = np.stack([ridge(total - by_fold[f]) for f in range(FOLDS)])
     model.weights = ridge(total)
-    rows = stored.select("fold", "y", "stats").collect()  # about max_rows at most
-    lifted = model.lift(np.array([r["stats"] for r in rows]))
-    model.knots = pav((lifted * others[[r["fold"] for r in rows]]).sum(1), np.array([r["y"] for r in rows]))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = (model.lift(np.array(b.column(2).to_pylist())) * others[b.column(0).to_numpy()]).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(raw)], names=["y", "raw"])
+
+    judged = stored.select("fold", "y", "stats").mapInArrow(judge, "y int, raw double").toArrow()  # two numbers a row, about max_rows at most
+    order = np.lexsort((judged["y"].to_numpy(), judged["raw"].to_numpy()))
+    model.knots = pav(judged["raw"].to_numpy()[order], judged["y"].to_numpy()[order])
     return model
 
 
