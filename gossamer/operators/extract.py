@@ -13,6 +13,8 @@ SPAN_COLUMNS = ("doc_id", "ord", "pattern", "category", "text", "start", "end",
 
 
 def _able(text: Column, pattern: str) -> Column | None:
+    if pattern in P.RUNS:
+        return F.col("_run")
     need = P.NEEDS.get(pattern)
     return None if need is None else F.col("_digit") if need == "0" else F.contains(text, F.lit(need))
 
@@ -36,7 +38,7 @@ def pattern_spans(docs: DataFrame, rows=None, keep: tuple[str, ...] = ()) -> Dat
     Texts are split only by patterns that have matches. ``keep`` columns go along. A null
     text has no spans.
     """
-    seen = docs.select("doc_id", *keep, "text", F.col("text").rlike(r"\p{Nd}").alias("_digit")).filter(F.col("text").isNotNull())
+    seen = docs.select("doc_id", *keep, "text", F.col("text").rlike(r"\p{Nd}").alias("_digit"), F.col("text").rlike(rf"[^ \n]{{{P.RUN}}}").alias("_run")).filter(F.col("text").isNotNull())
     hit = seen.select("doc_id", *keep, "text", F.explode(found_patterns(F.col("text"), rows)).alias("p"))
     # One pass over a pattern's matches gives their places; only these go on, a row a match.
     starts = starts_between(F.expr("split(text, p.regex, -1)"), F.transform(F.col("p.m"), lambda m: F.length(m)))

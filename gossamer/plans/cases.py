@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import anonymize, compact, custom, extract, layout, review
-from ..session import table
+from ..session import spread, table
 from . import oracles as O
 
 QUERIES, ORACLES = {}, {}
@@ -55,7 +55,7 @@ def literal_spellings(spark, sf):
 @query("document_findings")
 def document_findings(spark, sf):
     """Findings of whole documents by all patterns, without those of a head or sender."""
-    found = anonymize.detect_documents(table(spark, sf, "documents").select("doc_id", "text"))
+    found = anonymize.detect_documents(spread(table(spark, sf, "documents").select("doc_id", "text")))
     return found.select("doc_id", "category", "text", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"))
 
 

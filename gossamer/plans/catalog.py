@@ -11,7 +11,7 @@ from ..functions import patterns as P
 from ..functions import predicates as is_
 from ..functions import text as T
 from ..operators import anonymize, compact, custom, extract, layout, review, spans
-from ..session import table
+from ..session import spread, table
 from ..sources import pages as sources
 from . import oracles as O  # noqa: N812
 from . import samples
@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def found(docs: DataFrame, rows=None) -> DataFrame:
@@ -79,7 +79,7 @@ def pii_spans(spark, sf):
 
 @query("page_secrets", "WITH src AS (SELECT page_id, html AS text FROM pages), " + O.spans("src", "page_id") + " SELECT doc_id AS page_id, pattern, text, a AS span_start, b AS span_end FROM spans WHERE category IN ('secret', 'account_number')")
 def page_secrets(spark, sf):
-    docs = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    docs = spread(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
     rows = [r for r in P.portable() if r[2] in ("secret", "account_number")]
     return placed(extract.pattern_spans(docs, rows).withColumnRenamed("doc_id", "page_id"), "page_id", "pattern", "text")
 
@@ -106,7 +106,7 @@ def labeled_identifiers(spark, sf):
 )
 def pii_density_by_lang_source(spark, sf):
     docs = table(spark, sf, "documents")
-    n = extract.pattern_spans(docs.select("doc_id", "text"), P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = extract.pattern_spans(documents(spark, sf), P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
     out = docs.select("doc_id", "lang", "source", F.length("text").alias("c")).join(n, "doc_id", "left").groupBy("lang", "source")
     out = out.agg(F.count("*").alias("docs"), F.sum("c").cast("long").alias("chars"), F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("spans"))
     return out.withColumn("density", F.round(F.lit(10000.0) * F.col("spans") / F.col("chars"), 6))
@@ -117,9 +117,8 @@ def pii_density_by_lang_source(spark, sf):
     f"WITH {O.spans()}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) SELECT quality, toxic, count(*)::BIGINT AS docs, count(n)::BIGINT AS docs_with_pii, coalesce(sum(n), 0)::BIGINT AS spans FROM documents JOIN labels USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY quality, toxic",
 )
 def pii_vs_quality_labels(spark, sf):
-    docs = documents(spark, sf)
-    n = extract.pattern_spans(docs, P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
-    joined = table(spark, sf, "labels").join(docs.select("doc_id"), "doc_id").join(n, "doc_id", "left")
+    n = extract.pattern_spans(documents(spark, sf), P.portable()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id").join(n, "doc_id", "left")
     return joined.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.count("n").alias("docs_with_pii"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("spans"))
 
 
@@ -485,7 +484,7 @@ def pii_spans_everything(spark, sf):
 
 @query("page_secrets_everything")
 def page_secrets_everything(spark, sf):
-    docs = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    docs = spread(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
     rows = [r for r in P.everything() if r[2] in ("secret", "account_number")]
     return placed(extract.pattern_spans(docs, rows).withColumnRenamed("doc_id", "page_id"), "page_id", "pattern", "text")
 

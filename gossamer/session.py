@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Up to so many bytes a core, an input is dealt to all cores, in pieces of at least ``PIECE`` bytes.
+SPREAD, PIECE = 32 << 20, 512 << 10
+
 
 def build_session(app: str = "gossamer", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; ``conf`` entries override (dots written as ``__``)."""
@@ -23,3 +28,15 @@ def build_session(app: str = "gossamer", master: str | None = None, **conf: str)
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the parquet tables under ``root`` (any path that Spark's readers open)."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt to all cores, for work that takes much time a byte.
+
+    A file is read by row groups, so one of few groups would keep most cores idle. Inputs of
+    more than ``SPREAD`` bytes a core have groups enough and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pieces = min(cores, math.ceil(size / PIECE))
+    return df.repartition(pieces) if pieces > 1 and size <= SPREAD * cores else df
