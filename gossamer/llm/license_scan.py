@@ -2,9 +2,10 @@
 
 Every rolling word pair of every text is joined to the places where that pair
 stands in a fixed set of templates. A match at text word p and template word t
-votes for the diagonal p - t. Votes are summed per diagonal, neighbouring
-diagonals (words put in or left out) are merged, and a span is verified by the
-share of the template's words that its votes cover.
+votes for the diagonal p - t. Votes are summed per diagonal, and to each diagonal
+its neighbours within GAP (words put in or left out) are merged, so a span is never
+more than 2 GAP words longer than its template. A span is verified by the share of
+the template's words that its votes cover; of neighbouring spans the best stays.
 """
 
 from __future__ import annotations
@@ -42,10 +43,17 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("gnu affero general public license", "agpl"),
+    ("cc0 1 0 universal public domain dedication", "cc0-1.0"),
     ("all rights reserved no part of this publication may be reproduced", "proprietary"),
 )
 COVER = 0.8
-GAP = 2  # diagonals this near are one span
+GAP = 4  # diagonals this near are merged; less than the words of the shortest template
 SENTINEL = "\x00row"  # no text gram equals it
 
 
@@ -97,24 +105,26 @@ def scan(docs: DataFrame, spans_only: bool = False, templates=TEMPLATES, phrases
     diagonals = cut(diagonals, "license-diagonals")  # a row per text and vote; three readers follow
     pairs = F.size("tposes")
     phrase = diagonals.filter(F.col("base") & (pairs == F.col("tlen") - K + 1)).select(*keys, "label", "base", F.col("diagonal").alias("start"), F.col("tlen").alias("n"), F.lit(1.0).alias("cover"))
-    # Neighbouring diagonals of one template and text form one span.
-    order = W.partitionBy(*keys, "tid").orderBy("diagonal")
-    opened = diagonals.filter(~F.col("base") & (F.col("tid") >= 0)).withColumn("opens", (F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"))
-    merged = (
-        opened.withColumn("span", F.sum(F.coalesce("opens", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*keys, "tid", "span")
-        .agg(
-            F.first("label").alias("label"),
-            F.first("tlen").alias("tlen"),
-            F.array_distinct(F.flatten(F.collect_list(F.transform("tposes", lambda t: t)))).alias("pairs"),
-            F.min(F.col("diagonal") + F.array_min("tposes")).alias("start"),
-            F.max(F.col("diagonal") + F.array_max("tposes")).alias("end"),
-        )
+    # Each diagonal of one template and text takes in its neighbours.
+    of_template = W.partitionBy(*keys, "tid").orderBy("diagonal")
+    near = of_template.rangeBetween(-GAP, GAP)
+    merged = diagonals.filter(~F.col("base") & (F.col("tid") >= 0)).select(
+        *keys,
+        "tid",
+        "label",
+        "tlen",
+        "diagonal",
+        F.array_distinct(F.flatten(F.collect_list("tposes").over(near))).alias("pairs"),
+        F.min(F.col("diagonal") + F.array_min("tposes")).over(near).alias("start"),
+        F.max(F.col("diagonal") + F.array_max("tposes")).over(near).alias("end"),
     )
     # Words covered: those in a matched pair.
     covered = F.size(F.array_distinct(F.flatten(F.transform("pairs", lambda t: F.array(t, t + 1)))))
-    spans = merged.withColumn("cover", covered / F.col("tlen")).filter(F.col("cover") >= COVER)
-    spans = spans.select(*keys, "label", F.lit(False).alias("base"), "start", (F.col("end") + K - F.col("start")).alias("n"), "cover")
+    verified = merged.withColumn("cover", covered / F.col("tlen")).filter(F.col("cover") >= COVER)
+    opened = verified.withColumn("opens", (F.col("diagonal") - F.lag("diagonal").over(of_template) > GAP).cast("int"))
+    grouped = opened.withColumn("span", F.sum(F.coalesce("opens", F.lit(0))).over(of_template.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "tid", "span")
+    best = F.max_by(F.struct("label", "start", (F.col("end") + K - F.col("start")).alias("n"), "cover"), F.struct("cover", -(F.col("end") - F.col("start")), -F.col("diagonal")))
+    spans = grouped.agg(best.alias("b")).select(*keys, "b.label", F.lit(False).alias("base"), "b.start", "b.n", "b.cover")
     found = phrase.unionByName(spans)
     if spans_only:
         return found.select("doc_id", "content", "label", "base", F.col("start").cast("long"), F.col("n").cast("long").alias("words"), "cover")
