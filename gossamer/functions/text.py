@@ -61,6 +61,17 @@ def starts_between(gaps: Column, sizes: Column) -> Column:
     return let(gaps, lambda g: F.zip_with(between(g), F.slice(g, F.lit(1), F.size(g) - 1), lambda at, x: at + F.length(x)))
 
 
+def quoted(needle: Column) -> Column:
+    """An expression for a literal, which may hold the end of a quotation."""
+    return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def hits(haystack: Column, pattern: Column) -> Column:
+    """array<struct(s, e)>: the places of an expression's matches, left to right, not overlapping."""
+    sizes = lambda m: F.transform(m, lambda x: F.length(x))
+    return let(F.regexp_extract_all(haystack, pattern, F.lit(0)), lambda m: F.zip_with(starts_between(F.split(haystack, pattern, -1), sizes(m)), sizes(m), lambda s, n: F.struct(s.alias("s"), (s + n).alias("e"))))
+
+
 def fold(x: Column) -> Column:
     """Without case and diacritics; ß stays."""
     return F.translate(F.lower(x), ACCENTED, PLAIN)

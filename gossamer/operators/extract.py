@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import NARROW, WIDE, fold, let, starts_between
+from ..functions.text import NARROW, WIDE, fold, hits, let, quoted, starts_between
 
 SPAN_COLUMNS = ("doc_id", "ord", "pattern", "category", "text", "start", "end", "confidence", "source")
 
@@ -103,17 +103,6 @@ def _char_map(text: Column, written) -> Column:
     return let(F.filter(F.split(text, ""), lambda c: c != ""), rewrite)
 
 
-def _quoted(needle: Column) -> Column:
-    """An expression for a literal, which may hold the end of a quotation."""
-    return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def _hits(haystack: Column, pattern: Column) -> Column:
-    """array<struct(s, e)>: the places of an expression's matches, left to right, not overlapping."""
-    sizes = lambda m: F.transform(m, lambda x: F.length(x))
-    return let(F.regexp_extract_all(haystack, pattern, F.lit(0)), lambda m: F.zip_with(starts_between(F.split(haystack, pattern, -1), sizes(m)), sizes(m), lambda s, n: F.struct(s.alias("s"), (s + n).alias("e"))))
-
-
 def _pairs(looked: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts (_compact, ...) with the literals (first, second, ...) whose compacted spelling they hold, each pair once."""
     holds, also = F.contains("_compact", "first"), F.contains("_compact", "second")
@@ -147,10 +136,10 @@ def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = (
     bare = _char_map(F.col("text"), lambda chars, c, i: _bare(_normal(c)))
 
     def mapped(written: Column, needle: Column) -> Column:
-        return let(written, lambda w: F.transform(_hits(w["text"], _quoted(needle)), lambda h: F.struct(F.get(w["at"], h["s"]).alias("s"), (F.get(w["at"], h["e"] - 1) + 1).alias("e"))))
+        return let(written, lambda w: F.transform(hits(w["text"], quoted(needle)), lambda h: F.struct(F.get(w["at"], h["s"]).alias("s"), (F.get(w["at"], h["e"] - 1) + 1).alias("e"))))
 
-    found = lambda hits: F.filter(hits, lambda h: h["e"] > h["s"])
-    one = found(_hits(F.col("text"), F.concat(F.lit("(?iu)"), _quoted(F.col("needle")))))
+    found = lambda places: F.filter(places, lambda h: h["e"] > h["s"])
+    one = found(hits(F.col("text"), F.concat(F.lit("(?iu)"), quoted(F.col("needle")))))
     two, three = found(mapped(spaced, F.col("plain"))), F.when(F.col("second") != "", found(mapped(bare, F.col("second"))))
     first = let(one, lambda a: F.when(F.size(a) > 0, a).otherwise(let(two, lambda b: F.when(F.size(b) > 0, b).otherwise(three))))
     places = pair.select("doc_id", *keep, "category", "text", F.explode(first).alias("r"))

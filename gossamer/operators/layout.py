@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as is_
-from ..functions.text import collapse, comparable, fold, let, running_sums
+from ..functions.text import collapse, comparable, fold, hits, let, quoted, running_sums
 
 CHAR_WIDTH, LINE_STEP, LINE_HEIGHT = 6.0, 14.0, 12.0
+#: Characters of a stretch by which spans and lines of one text meet.
+CELL = 1024
 
 
 def join_lines(ocr_lines: DataFrame, page=("doc_id", "page_index")) -> DataFrame:
@@ -34,12 +36,18 @@ def grid_box(line_no: Column, n_lines: Column, column: Column, width: Column) ->
 def span_boxes(spans: DataFrame, lines: DataFrame, page=("doc_id",), box: Column | None = None) -> DataFrame:
     """One row per span and line that it touches, with the part of the line and its box.
 
-    The page is the join's key, the ranges its condition. Lines may bring boxes of
-    their own (``box``); else the grid gives them.
+    Spans and lines meet by page and stretch of the text (``CELL`` characters), so a
+    page's spans are not compared with all its lines. Lines may bring boxes of their
+    own (``box``); else the grid gives them. Empty spans and lines touch nothing.
     """
-    counted = lines.join(lines.groupBy(*page).agg(F.count("*").cast("int").alias("n_lines")), list(page))
-    touched = spans.join(counted, list(page)).filter(F.greatest("start", "line_start") < F.least("end", "line_end"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(b) - 1) / CELL)))
+    if box is None:
+        lines = lines.join(lines.groupBy(*page).agg(F.count("*").cast("int").alias("n_lines")), list(page))
     begin, stop = F.greatest("start", "line_start"), F.least("end", "line_end")
+    some, each = spans.filter(F.col("end") > F.col("start")), lines.filter(F.col("line_end") > F.col("line_start"))
+    pairs = some.withColumn("_cell", cells("start", "end")).join(each.withColumn("_cell", cells("line_start", "line_end")), [*page, "_cell"])
+    # A pair may share several stretches; that where the common part begins counts.
+    touched = pairs.filter((begin < stop) & (F.col("_cell") == F.floor(begin / CELL)))
     rect = box if box is not None else grid_box(F.col("line_no"), F.col("n_lines"), begin - F.col("line_start"), stop - begin)
     return touched.select(*spans.columns, "line_no", begin.alias("part_start"), stop.alias("part_end"), rect.alias("rect"))
 
@@ -47,10 +55,9 @@ def span_boxes(spans: DataFrame, lines: DataFrame, page=("doc_id",), box: Column
 def recover_boxes(unplaced: DataFrame, recognised: DataFrame, lines: DataFrame, page=("doc_id", "page_index")) -> DataFrame:
     """Spans without a box looked up in the recognised text: all places but for case, with the boxes of the lines there."""
     text = recognised.select(*page, F.col("text").alias("_page"))
-    gaps = F.split(F.lower("_page"), F.concat(F.lit("\\Q"), F.lower("text"), F.lit("\\E")), -1)
-    found = unplaced.join(text, list(page)).filter("text <> ''").withColumn("_g", gaps)
-    part = F.transform(F.sequence(F.lit(1), F.size("_g") - 1), lambda i: F.aggregate(F.slice("_g", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)) + (i - 1) * F.length("text"))
-    placed = found.filter(F.size("_g") > 1).withColumn("start", F.explode(part)).withColumn("end", F.col("start") + F.length("text")).select(unplaced.columns)
+    found = unplaced.filter("text <> ''").join(text, list(page))
+    places = hits(F.col("_page"), F.concat(F.lit("(?iu)"), quoted(F.col("text"))))
+    placed = found.withColumn("_at", F.explode(places)).withColumns({"start": F.col("_at.s"), "end": F.col("_at.e")}).select(unplaced.columns)
     return span_boxes(placed, lines, page, box=F.col("box"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_even
+from ..functions.text import fold_even, quoted
 
 STATES = ("pending", "accepted", "rejected")
 
@@ -50,10 +53,9 @@ def recents(opened: DataFrame, keep: int = 8, owner: str | None = None) -> DataF
 def keyword_in_context(texts: DataFrame, query: str, section: str = "text", around: int = 28, most: int = 6, key: str = "doc_id") -> DataFrame:
     """(key, section, at, snippet): the first places of a query without case and diacritics, with what stands around them."""
     needle = fold_even(F.lit(query.strip()))
-    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     size = F.length(needle)
     # The places are those of the text itself, so each character must fold to one.
-    gaps = F.split(fold_even(F.col("text")), quoted, most + 1)
+    gaps = F.split(fold_even(F.col("text")), quoted(needle), most + 1)
     hits = texts.filter(F.contains(fold_even(F.col("text")), needle) & (size > 0)).select(key, "text", gaps.alias("_g"))
     starts = F.transform(F.sequence(F.lit(1), F.size("_g") - 1), lambda i: F.aggregate(F.slice("_g", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s)) + (i - 1) * size)
     each = hits.select(key, "text", F.posexplode(starts).alias("at", "s"))
@@ -90,11 +92,28 @@ def manifest_path(path: Column) -> Column:
     return F.struct(clean.alias("path"), error.alias("error"))
 
 
-def download_progress(parts: DataFrame, page=("model",)) -> DataFrame:
-    """Parts (model, at, bytes) with the bytes done so far and their share of all."""
-    order = W.partitionBy(*page).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    done = F.sum("bytes").over(order)
-    return parts.withColumn("done", done).withColumn("share", done / F.greatest(F.sum("bytes").over(W.partitionBy(*page)), F.lit(1)))
+#: Stretches that a model's parts are cut into by ``download_progress``.
+CELLS = 4096
+
+
+def download_progress(parts: DataFrame, page=("model",), cells: int = CELLS) -> DataFrame:
+    """Parts (model, at, bytes) with the bytes done so far and their share of all.
+
+    ``at`` is a number or a time. Its range is cut into equal stretches whose sums run
+    first, so that no task sorts all parts of a model; parts without ``at`` come first.
+    """
+    at = F.col("at").cast("double")
+    same = lambda a, b, *keys: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys])
+    whole = parts.groupBy(*page).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.sum("bytes").alias("_all")).alias("w")
+    wide = F.col("_hi") > F.col("_lo")
+    cell = F.when(wide, F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells)).otherwise(F.lit(0))
+    placed = parts.alias("p").join(whole, same("p", "w", *page)).select("p.*", "_all", F.when(F.col("at").isNull(), -1).otherwise(cell).cast("int").alias("_cell"))
+    sums = placed.groupBy(*page, "_cell").agg(F.sum("bytes").alias("_sum"))
+    before = sums.select(*page, "_cell", F.sum("_sum").over(W.partitionBy(*page).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)).alias("_before")).alias("b")
+    own = F.sum("bytes").over(W.partitionBy(*page, "_cell").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    run = placed.withColumn("_own", own).alias("p").join(before, same("p", "b", *page, "_cell"))
+    done = F.when(F.col("_before").isNull(), F.col("_own")).otherwise(F.col("_before") + F.coalesce("_own", F.lit(0)))
+    return run.select("p.*", done.alias("done")).withColumn("share", F.col("done") / F.greatest("_all", F.lit(1))).drop("_all", "_cell", "_own")
 
 
 def file_kind(path: Column) -> Column:

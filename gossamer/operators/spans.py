@@ -14,6 +14,8 @@ from ..functions import predicates as is_
 from ..functions.text import BLOCK, clean_span, comparable, fold, let
 
 PAGE = ("doc_id",)
+#: Characters of a stretch by which spans of one text meet.
+CELL = 1024
 
 
 def drop_reason(category: Column, text: Column, source: Column) -> Column:
@@ -75,17 +77,23 @@ def merge_equivalent(spans: DataFrame, page=PAGE) -> DataFrame:
 
 
 def suppress_contained(spans: DataFrame, page=PAGE) -> DataFrame:
-    """Drop a custom literal's span that a longer one contains, or overlaps by three quarters if that one is of another kind or has its text."""
-    mine = spans.filter("category = 'custom_identifier'")
-    other = spans.select(*[F.col(p).alias(f"o_{p}") for p in page], *[F.col(c).alias(f"o_{c}") for c in ("start", "end", "category", "text")])
+    """Drop a custom literal's span that a longer one contains, or overlaps by three quarters if that one is of another kind or has its text.
+
+    Either way the longer one covers the shorter one's middle, so the two meet by page
+    and the stretch of the text (``CELL`` characters) that holds it. Spans without
+    places, empty or inverse ones drop nothing.
+    """
+    mine = spans.filter("category = 'custom_identifier'").withColumn("_cell", F.floor((F.col("start") + F.col("end")) / (2 * CELL)))
+    reach = F.sequence(F.floor(F.col("start") / CELL), F.floor(F.col("end") / CELL))
+    other = spans.filter(F.col("end") > F.col("start")).select(*[F.col(p).alias(f"o_{p}") for p in page], *[F.col(c).alias(f"o_{c}") for c in ("start", "end", "category", "text")], F.explode(reach).alias("o_cell"))
     size = lambda p="": F.col(f"{p}end") - F.col(f"{p}start")
     shared = F.least("end", "o_end") - F.greatest("start", "o_start")
     contains = (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end"))
     most = (shared / F.greatest(size(), F.lit(1)) >= 0.75) & ((F.col("o_category") != "custom_identifier") | F.contains(comparable(F.col("o_text")), comparable(F.col("text"))))
-    same_page = F.lit(True)
+    same_page = F.col("_cell") == F.col("o_cell")
     for p in page:
         same_page = same_page & F.col(p).eqNullSafe(F.col(f"o_{p}"))
-    kept = mine.join(other, same_page & (size("o_") > size()) & (contains | most), "left_anti")
+    kept = mine.join(other, same_page & (size("o_") > size()) & (contains | most), "left_anti").drop("_cell")
     return spans.filter("category <> 'custom_identifier' or category is null").unionByName(kept)
 
 
