@@ -4,13 +4,16 @@ The neighbour graph of a bounded sample is cut into balanced parts with few edge
 between them; a small classifier learns which parts hold a vector's neighbours.
 It puts every row of the table into its most probable part and routes every
 query to as many of its most probable parts as held-out queries of the sample need;
-what is found there is ranked by exact distance. Equal vectors are searched and
-found once, with their smallest ids.
+what is found there is ranked by exact distance. Where the table fills more parts
+than one classifier tells apart, each part is cut again by a classifier of its own,
+learned from a bounded sample of the part and of vectors that look into it. Equal
+vectors are searched and found once, with their smallest ids.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: The most vectors that the parts are learned from, the edges of each, the rows a part should have and the most parts.
+#: The most vectors that parts are learned from (of the table, and of each part that is cut again), the edges of each, the rows a part should have and the most parts of one classifier.
 SAMPLE, DEGREE, ROWS_PER_PART, MAX_PARTS = 6_000, 10, 512, 512
+#: Vectors of other parts, on average, that the cut of a part is learned from, and rows that one task puts into the parts of a part.
+VISITORS, CHUNK = 1_000, 32_768
 HIDDEN, EPOCHS = 64, 30
 #: Recall that routing must reach on held-out queries of the sample, and how many there are.
 TARGET, TRIALS = 0.96, 400
@@ -53,6 +58,14 @@ def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def nearest_rows(queries: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of x nearest to each query, which is none of them."""
+    out = np.empty((len(queries), k), np.int64)
+    for lo in range(0, len(queries), 512):
+        out[lo : lo + 512] = np.argpartition(distances(queries[lo : lo + 512], x), k - 1, axis=1)[:, :k]
+    return out
+
+
 def halve(nodes: np.ndarray, edges: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """True for one half of ``nodes``: split at the median of the second eigenvector of the graph among them, then swapped while that cuts fewer edges."""
     n = len(nodes)
@@ -123,9 +136,12 @@ class Router:
         return np.argsort(-self.chances(x), axis=1, kind="stable")[:, : probes or self.probes] if self.parts > 1 else np.zeros((len(x), 1), np.int64)
 
 
-def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5, rows_per_part: int = ROWS_PER_PART) -> Router:
-    """A router from the sample x of a table of ``rows`` different vectors; one part if they would fill less than two."""
-    parts = 1 << max(0, min(int(math.log2(MAX_PARTS)), int(math.log2(max(1, rows / rows_per_part)))))
+def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5, rows_per_part: int = ROWS_PER_PART, max_parts: int = MAX_PARTS, visitors: np.ndarray | None = None) -> Router:
+    """A router from the sample x of a table of ``rows`` different vectors; one part if they would fill less than two.
+
+    ``visitors`` are vectors that ask but are not in the table: their neighbours in x are learned and tried like those of x.
+    """
+    parts = 1 << max(0, min(int(math.log2(max_parts)), int(math.log2(max(1, rows / rows_per_part)))))
     width = x.shape[1] if x.ndim == 2 else 0
     if parts == 1 or len(x) < 8 * parts:
         return Router(1, 1, np.zeros(width), 1.0, [])
@@ -133,10 +149,14 @@ def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5, rows_
     near = neighbours(x, DEGREE)
     edges = np.unique(np.sort(np.stack([np.repeat(np.arange(len(x)), DEGREE), near.ravel()], 1), axis=1), axis=0)
     part = partition(edges, len(x), parts, seed)
+    members, truth = x, neighbours(x, NEAREST)
+    if visitors is not None and len(visitors):
+        near, truth = np.concatenate([near, nearest_rows(visitors, x, DEGREE)]), np.concatenate([truth, nearest_rows(visitors, x, NEAREST)])
+        x = np.concatenate([x, visitors])
     # To be learned: where a vector's neighbours are, itself counted as two of them.
     goal = np.zeros((len(x), parts))
     np.add.at(goal, (np.repeat(np.arange(len(x)), DEGREE), part[near].ravel()), 1)
-    goal[np.arange(len(x)), part] += 2
+    goal[np.arange(len(members)), part] += 2
     goal /= goal.sum(1, keepdims=True)
     router = Router(parts, parts, x.mean(0), float(x.std() + 1e-12), [rng.normal(0, math.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, math.sqrt(1 / HIDDEN), (HIDDEN, parts)), np.zeros(parts)])
     trials = rng.permutation(len(x))[: min(TRIALS, len(x) // 5)]
@@ -157,11 +177,10 @@ def learn(x: np.ndarray, rows: int, target: float = TARGET, seed: int = 5, rows_
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= 3e-3 * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + 1e-4 * p)
-    home, order = router.home(x), router.routes(x[trials], parts)
-    truth = neighbours(x, NEAREST)[trials]
+    home, order = router.home(members), router.routes(x[trials], parts)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(trials), 0), 1)
-    needed = np.take_along_axis(rank, home[truth], 1)  # how many parts come before the one that holds the neighbour
+    needed = np.take_along_axis(rank, home[truth[trials]], 1)  # how many parts come before the one that holds the neighbour
     found = [(needed < m).mean() for m in range(1, parts + 1)]
     router.probes = 1 + int(np.argmax(np.array(found) >= target))
     return router
@@ -177,12 +196,12 @@ def rank_block(queries: np.ndarray, rows: np.ndarray, k: int):
     return q, r, np.sqrt(((queries[q] - rows[r]) ** 2).sum(1))
 
 
-def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router: Router | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router: Router | None = None, rows_per_part: int = ROWS_PER_PART, max_parts: int = MAX_PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row (vec_id, embedding) for which ``is_query`` holds, itself excepted.
 
     Null, zero or non-finite vectors and null ids take no part. Vectors of different
     lengths have no distance, so each length is searched by itself, with a router of
-    its own (``router`` is for those of its width). Rows that repeat id and vector
+    its own (``router`` is for those of its width, whose parts are not cut again). Rows that repeat id and vector
     count once; an id with several vectors is found by each. Ties go to the smaller id.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -191,42 +210,100 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, router:
     found = empty
     for width in widths:
         own = router if router is not None and len(router.mean) == width else None
-        of_width = search_width(good.filter(F.size("embedding") == width), is_query, width, nearest, own, rows_per_part)
+        of_width = search_width(good.filter(F.size("embedding") == width), is_query, width, nearest, own, rows_per_part, max_parts)
         found = of_width if found is empty else found.unionByName(of_width)
     return found
 
 
-def search_width(good: DataFrame, is_query: Column, width: int, nearest: int, router: Router | None, rows_per_part: int) -> DataFrame:
+HOME = "rep long, part int"
+
+
+def placed(rows: DataFrame, router: Router, width: int, spread: bool, besides: int = 0) -> DataFrame:
+    """(rep, part) of rows (rep, embedding): the part that a row belongs to, or those that it looks into (``spread``), but for the first ``besides``."""
+
+    def place(batches):
+        for b in batches:
+            x = _matrix(b.column(1), width)
+            to = (router.routes(x) if spread else router.home(x)[:, None])[:, besides:]
+            at = np.repeat(np.arange(len(x)), to.shape[1])
+            rep = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(to.ravel().astype(np.int32))], names=["rep", "part"])
+
+    return rows.select("rep", "embedding").mapInArrow(place, HOME)
+
+
+def per_part(values: dict[int, float], parts: int) -> Column:
+    """A part's value, 0 where it has none; ``parts`` of one classifier, so no more than its most."""
+    return F.element_at(F.array(*[F.lit(float(values.get(p, 0))) for p in range(parts)]), F.col("part") + 1)
+
+
+def learn_inner(classes: DataFrame, homes: DataFrame, router: Router, width: int, rows_per_part: int, max_parts: int, target: float) -> DataFrame:
+    """(part, model): a router for each part, learned from a sample of the part and of vectors of other parts that look into it."""
+    counts = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    draw = lambda name: F.pmod(F.xxhash64(F.lit(name), "embedding"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.lit(float(SAMPLE)) / F.greatest(per_part(counts, router.parts), F.lit(1.0))
+    members = classes.select("rep", "embedding").join(homes, "rep").filter(draw("member") < share).select("part", "embedding", F.lit(True).alias("member"))
+    asking = classes.filter(draw("visitor") < VISITORS * router.parts / max(1.0, sum(counts.values()) * max(1, router.probes - 1)))
+    visits = placed(asking, router, width, True, besides=1).join(asking.select("rep", "embedding"), "rep").select("part", "embedding", F.lit(False).alias("member"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        part, x, member = table.column("part")[0].as_py(), _matrix(table.column("embedding"), width), np.array(table.column("member").to_pylist(), bool)
+        ordered = lambda v: v[np.lexsort(v.T)]
+        own = learn(ordered(x[member]), counts.get(part, 0), target, rows_per_part=rows_per_part, max_parts=max_parts, visitors=ordered(x[~member]))
+        return pa.table({"part": pa.array([part], pa.int32()), "model": pa.array([pickle.dumps(own)], pa.binary())})
+
+    return cut(members.unionByName(visits).groupBy("part").applyInArrow(fit, "part int, model binary"), "ann-models")
+
+
+def refined(rows: DataFrame, models: DataFrame, parts: int, width: int, max_parts: int, spread: bool) -> DataFrame:
+    """(rep, part) of rows (rep, part, embedding) put into the parts of their part; a part's rows go to as many tasks as they fill."""
+    rows = cut(rows, "ann-placed")
+    counts = {r["part"]: math.ceil(r["n"] / CHUNK) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    chunks = F.greatest(per_part(counts, parts), F.lit(1.0)).cast("int")
+
+    def place(some: pa.Table, model: pa.Table) -> pa.Table:
+        if not len(some):
+            return pa.table({"rep": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
+        part, x = some.column("part")[0].as_py(), _matrix(some.column("embedding"), width)
+        own = pickle.loads(model.column("model")[0].as_py()) if len(model) else Router(1, 1, np.zeros(width), 1.0, [])
+        to = own.routes(x) if spread else own.home(x)[:, None]
+        rep = some.column("rep").to_numpy()[np.repeat(np.arange(len(x)), to.shape[1])]
+        return pa.table({"rep": pa.array(rep), "part": pa.array((part * max_parts + to.ravel()).astype(np.int32))})
+
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks.cast("long")).cast("int")).groupBy("part", "chunk")
+    copied = models.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).groupBy("part", "chunk")
+    return dealt.cogroup(copied).applyInArrow(place, HOME)
+
+
+def search_width(good: DataFrame, is_query: Column, width: int, nearest: int, router: Router | None, rows_per_part: int, max_parts: int = MAX_PARTS) -> DataFrame:
     """``search`` among usable vectors of one length."""
     # One row per different vector, with its smallest ids: no more can be among the nearest.
     same = W.partitionBy("embedding").orderBy("vec_id")
     smallest = good.distinct().withColumn("turn", F.row_number().over(same)).filter(F.col("turn") <= nearest + 1)
     classes = cut(smallest.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.xxhash64(F.get("ids", F.lit(0)), F.col("embedding"))), "ann-vectors")
+    inner = False
     if router is None:
         n = classes.count()
+        inner = n >= 2 * max_parts * rows_per_part
+        target = math.sqrt(TARGET) if inner else TARGET  # of each of two cuts
         scale = 1 << 30
         drawn = classes.filter(F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(scale)) < int(min(1.0, SAMPLE / max(1, n)) * scale)).select("embedding").toArrow()
         sample = _matrix(drawn.column(0), width)
-        router = learn(sample[np.lexsort(sample.T)], n, rows_per_part=rows_per_part)
-    home = "rep long, part int"
-
-    def place(batches, spread: bool):
-        for b in batches:
-            x = _matrix(b.column(1), width)
-            to = router.routes(x) if spread else router.home(x)[:, None]
-            at = np.repeat(np.arange(len(x)), to.shape[1])
-            rep = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(to.ravel().astype(np.int32))], names=["rep", "part"])
-
-    homes = cut(classes.select("rep", "embedding").mapInArrow(lambda it: place(it, False), home), "ann-homes")
-    counts = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
-    blocks = F.element_at(F.array(*[F.lit(math.ceil(max(1, counts.get(p, 0)) / BLOCK)) for p in range(router.parts)]), F.col("part") + 1)
-    stored = classes.join(homes, "rep").select("part", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"), "embedding", "ids")
+        router = learn(sample[np.lexsort(sample.T)], n, target, rows_per_part=rows_per_part, max_parts=max_parts)
+    homes = cut(placed(classes, router, width, False), "ann-homes")
     asking = good.filter(is_query).join(classes.select(F.col("embedding").alias("e"), "rep"), F.col("embedding") == F.col("e")).select("vec_id", "rep").distinct()
     asking = cut(asking, "ann-queries")
-    asked = classes.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding")
-    routed = asked.mapInArrow(lambda it: place(it, True), home).join(asked, "rep")
-    routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).select("part", "block", "rep", "embedding")
+    asked = cut(classes.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding"), "ann-asked")
+    routes = placed(asked, router, width, True)
+    if inner:
+        models = learn_inner(classes, homes, router, width, rows_per_part, max_parts, target)
+        homes = cut(refined(classes.select("rep", "embedding").join(homes, "rep").select("rep", "part", "embedding"), models, router.parts, width, max_parts, False), "ann-inner-homes")
+        routes = refined(routes.join(asked, "rep").select("rep", "part", "embedding"), models, router.parts, width, max_parts, True)
+    # A row a part, so at most MAX_PARTS squared rows of two numbers are broadcast.
+    sizes = F.broadcast(homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    stored = classes.join(homes, "rep").join(sizes, "part").select("part", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block"), "embedding", "ids")
+    routed = routes.join(asked, "rep").join(sizes, "part")
+    routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "rep", "embedding")
     k = nearest + 1
 
     def rank(queries: pa.Table, rows: pa.Table) -> pa.Table:

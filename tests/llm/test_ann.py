@@ -90,3 +90,30 @@ def test_every_length_is_searched(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = by_query(ann.search(df, F.col("vec_id").isin(0, 100)))
     assert [v for v, _ in got[0]] == list(range(1, 11)) and [v for v, _ in got[100]] == list(range(101, 111))
+
+
+def test_parts_are_cut_again(spark, monkeypatch):
+    """More vectors than one classifier's parts hold: two cuts, 0.9 of the neighbours, and fewer rows ranked than by one cut."""
+    ranked = []
+    met = ann.cut
+
+    def told(df, name):
+        made = met(df, name)
+        if name in ("ann-homes", "ann-inner-homes"):
+            ranked.append({r["part"]: r["n"] for r in made.groupBy("part").agg(F.count("*").alias("n")).collect()})
+        return made
+
+    monkeypatch.setattr(ann, "cut", told)
+    monkeypatch.setattr(ann, "CHUNK", 500)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (100, 12))
+    x = np.repeat(centres, 60, 0) + rng.normal(0, 0.1, (6_000, 12))
+    x[7] = x[8]
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in rng.permutation(len(x))], "vec_id long, embedding array<double>")
+    got = by_query(ann.search(df, F.col("vec_id") % 50 == 0, rows_per_part=60, max_parts=8))
+    first, second = ranked
+    assert len(first) <= 8 < 32 <= len(second) and sum(second.values()) == sum(first.values()) == len(x) - 1
+    assert max(second.values()) < min(max(first.values()), len(x) / 8)
+    want = brute([(i, v) for i, v in enumerate(x)], range(0, len(x), 50))
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
