@@ -163,8 +163,8 @@ def describe(docs: DataFrame) -> DataFrame:
             at = 0
             while at < batch.num_rows:  # parts of a bounded number of shingles
                 sets, size = [], 0
-                for text in batch.column(1).slice(at, 512).to_pylist():
-                    sets.append(shingles(text, known))
+                for text in batch.column(1).slice(at, 512):
+                    sets.append(shingles(text.as_py(), known))
                     size += len(sets[-1])
                     if size > 500_000:
                         break
@@ -223,11 +223,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         known, held, key = Words(), None, None
         for batch in batches:
             keep = []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            # One text at a time leaves the batch's buffers; that of a hot leader once.
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if key != a:
-                    held = shingles(text_a, known)
+                    held = shingles(batch.column(2)[i].as_py(), known)
                     key = a if class_of(held) == a else None
-                other = shingles(text_b, known)
+                other = shingles(batch.column(3)[i].as_py(), known)
                 common = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(key == a and class_of(other) == b and DEN * common >= NUM * (len(held) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -247,8 +248,8 @@ def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, known)
+            for i, cls in enumerate(batch.column(0).to_pylist()):
+                s = shingles(batch.column(1)[i].as_py(), known)
                 if class_of(s) == cls:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls)), pa.array(s.view(np.int64))], names=["cls", "h"])
 
