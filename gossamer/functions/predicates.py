@@ -31,12 +31,17 @@ def contains_any(x: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def postal_city(x: Column) -> Column:
-    return collapse(x).rlike("(?i)" + POSTAL_CITY)
+def as_is(regex: str) -> str:
+    """What the predicates run of an expression, if not told otherwise."""
+    return regex
 
 
-def street(x: Column) -> Column:
-    return collapse(x).rlike("(?i)" + STREET)
+def postal_city(x: Column, run=as_is) -> Column:
+    return collapse(x).rlike(run("(?i)" + POSTAL_CITY))
+
+
+def street(x: Column, run=as_is) -> Column:
+    return collapse(x).rlike(run("(?i)" + STREET))
 
 
 def street_apart(x: Column) -> Column:
@@ -44,38 +49,38 @@ def street_apart(x: Column) -> Column:
     return collapse(x).rlike("(?i)" + STREET_APART)
 
 
-def _block(x: Column) -> Column:
-    return collapse(x).rlike(r"(?i)\b" + HONORIFIC + r".+\d{5}\s+[A-ZÄÖÜa-zäöüß]")
+def _block(x: Column, run=as_is) -> Column:
+    return collapse(x).rlike(run(r"(?i)\b" + HONORIFIC + r".+\d{5}\s+[A-ZÄÖÜa-zäöüß]"))
 
 
-def address_block(x: Column) -> Column:
-    return postal_city(x) | street(x) | _block(x)
+def address_block(x: Column, run=as_is) -> Column:
+    return postal_city(x, run) | street(x, run) | _block(x, run)
 
 
 def address_block_apart(x: Column) -> Column:
     return postal_city(x) | street_apart(x) | _block(x)
 
 
-def organization(x: Column) -> Column:
-    return F.trim(x).rlike("(?i)" + ORGANIZATION)
+def organization(x: Column, run=as_is) -> Column:
+    return F.trim(x).rlike(run("(?i)" + ORGANIZATION))
 
 
-def company_block(x: Column) -> Column:
-    return organization(collapse(x)) & (street(x) | postal_city(x) | collapse(x).rlike(NUMBER))
+def company_block(x: Column, run=as_is) -> Column:
+    return organization(collapse(x), run) & (street(x, run) | postal_city(x, run) | collapse(x).rlike(run(NUMBER)))
 
 
 def company_block_apart(x: Column) -> Column:
     return organization(collapse(x)) & (street_apart(x) | postal_city(x) | collapse(x).rlike(NUMBER))
 
 
-def contact_tail(x: Column) -> Column:
+def contact_tail(x: Column, run=as_is) -> Column:
     """A titled person whose span runs into an address or contact word."""
     cleaned, folded = collapse(x), comparable(collapse(x))
-    return (F.contains(folded, F.lit("frau")) | F.contains(folded, F.lit("herr"))) & (street(x) | contains_any(F.lower(cleaned), CONTACT_FRAGMENTS) | contains_any(folded, CONTACT_FRAGMENTS))
+    return (F.contains(folded, F.lit("frau")) | F.contains(folded, F.lit("herr"))) & (street(x, run) | contains_any(F.lower(cleaned), CONTACT_FRAGMENTS) | contains_any(folded, CONTACT_FRAGMENTS))
 
 
-def honorific_street(x: Column) -> Column:
-    return ~postal_city(x) & street(x) & collapse(x).rlike("(?i)^" + HONORIFIC)
+def honorific_street(x: Column, run=as_is) -> Column:
+    return ~postal_city(x, run) & street(x, run) & collapse(x).rlike(run("(?i)^" + HONORIFIC))
 
 
 def nameish(x: Column) -> Column:

@@ -19,11 +19,11 @@ def _able(text: Column, pattern: str) -> Column | None:
     return None if need is None else F.col("_digit") if need == "0" else F.contains(text, F.lit(need))
 
 
-def found_patterns(text: Column, rows=None) -> Column:
-    """array<struct(ord, id, category, regex, m)> of the patterns that match, m being all matches in order."""
+def found_patterns(text: Column, rows=None, run=P.executed) -> Column:
+    """array<struct(ord, id, category, regex, m)> of the patterns that match, m being all matches in order. ``run`` gives the expression to run."""
     parts = []
     for ord_, name, category, regex in rows or P.everything():
-        regex = P.executed(regex)
+        regex = run(regex)
         all_of = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
         able = _able(text, name)
         if able is not None:  # a cheap look saves the search
@@ -32,14 +32,14 @@ def found_patterns(text: Column, rows=None) -> Column:
     return F.filter(F.array(*parts), lambda p: F.size(p["m"]) > 0)
 
 
-def pattern_spans(docs: DataFrame, rows=None, keep: tuple[str, ...] = ()) -> DataFrame:
+def pattern_spans(docs: DataFrame, rows=None, keep: tuple[str, ...] = (), run=P.executed) -> DataFrame:
     """All matches in (doc_id, text) rows, with offsets; row-local, so it also runs on a stream.
 
     Texts are split only by patterns that have matches. ``keep`` columns go along. A null
-    text has no spans.
+    text has no spans. ``run`` makes the expression that runs of a pattern's.
     """
     seen = docs.select("doc_id", *keep, "text", F.col("text").rlike(r"\p{Nd}").alias("_digit"), F.col("text").rlike(rf"[^ \n]{{{P.RUN}}}").alias("_run")).filter(F.col("text").isNotNull())
-    hit = seen.select("doc_id", *keep, "text", F.explode(found_patterns(F.col("text"), rows)).alias("p"))
+    hit = seen.select("doc_id", *keep, "text", F.explode(found_patterns(F.col("text"), rows, run)).alias("p"))
     # One pass over a pattern's matches gives their places; only these go on, a row a match.
     starts = starts_between(F.expr("split(text, p.regex, -1)"), F.transform(F.col("p.m"), lambda m: F.length(m)))
     places = F.zip_with(F.col("p.m"), starts, lambda m, s: F.struct(m.alias("text"), s.alias("start")))

@@ -18,8 +18,8 @@ PAGE = ("doc_id",)
 CELL = 1024
 
 
-def drop_reason(category: Column, text: Column, source: Column) -> Column:
-    """Why a span is dropped, the first reason that holds; null if it stays."""
+def drop_reason(category: Column, text: Column, source: Column, run=is_.as_is) -> Column:
+    """Why a span is dropped, the first reason that holds; null if it stays. ``run`` makes the expression that runs of a rule's."""
     model = source == "model"
     headed = is_.noise(text) | is_.tax_header(text)
     digits = F.length(F.regexp_replace(text, r"\D+", ""))
@@ -27,31 +27,31 @@ def drop_reason(category: Column, text: Column, source: Column) -> Column:
     return (
         F.when(text == "", "empty")
         .when(person & headed, "noise")
-        .when(person & is_.organization(text), "organization")
-        .when(person & is_.contact_tail(text), "contact_tail")
+        .when(person & is_.organization(text, run), "organization")
+        .when(person & is_.contact_tail(text, run), "contact_tail")
         .when(person & model & (F.length(text) <= 4) & ~is_.nameish(text), "short")
         .when(person & model & text.rlike(r"\p{Nd}") & ~F.contains(text, F.lit(" ")), "digits")
         .when(address & headed, "noise")
-        .when(address & is_.company_block(text), "company_block")
-        .when(address & is_.honorific_street(text), "honorific_street")
-        .when(address & (is_.postal_city(text) | is_.street(text) | is_.address_block(text)), None)
+        .when(address & is_.company_block(text, run), "company_block")
+        .when(address & is_.honorific_street(text, run), "honorific_street")
+        .when(address & (is_.postal_city(text, run) | is_.street(text, run) | is_.address_block(text, run)), None)
         .when(address & (source == "pattern"), "no_address_shape")
         .when(address & (F.length(text) < 8), "short")
-        .when(account & model & (is_.postal_city(text) | is_.street(text) | is_.tax_header(text)), "address_shape")
+        .when(account & model & (is_.postal_city(text, run) | is_.street(text, run) | is_.tax_header(text)), "address_shape")
         .when(account & model & ~text.rlike(r"\p{L}") & (digits < 12), "few_digits")
     )
 
 
-def judged(spans: DataFrame) -> DataFrame:
+def judged(spans: DataFrame, run=is_.as_is) -> DataFrame:
     """Spans with cleaned text, the reason to drop them and the category they end in."""
     cleaned = spans.withColumn("text", clean_span(F.col("text")))
     # The rules in generated code would be over the compiler's limit and keep the whole stage from being compiled.
-    reason = let(F.struct(F.col("category").alias("c"), F.col("text").alias("t"), F.col("source").alias("s")), lambda x: drop_reason(x["c"], x["t"], x["s"]))
-    return cleaned.withColumn("drop_reason", reason).withColumn("category", let(F.struct(F.col("text").alias("t"), F.col("category").alias("c")), lambda x: F.when((x["c"] == "account_number") & is_.postal_city(x["t"]), "private_address").otherwise(x["c"])))
+    reason = let(F.struct(F.col("category").alias("c"), F.col("text").alias("t"), F.col("source").alias("s")), lambda x: drop_reason(x["c"], x["t"], x["s"], run))
+    return cleaned.withColumn("drop_reason", reason).withColumn("category", let(F.struct(F.col("text").alias("t"), F.col("category").alias("c")), lambda x: F.when((x["c"] == "account_number") & is_.postal_city(x["t"], run), "private_address").otherwise(x["c"])))
 
 
-def sanitize(spans: DataFrame) -> DataFrame:
-    return judged(spans).filter("drop_reason is null").drop("drop_reason")
+def sanitize(spans: DataFrame, run=is_.as_is) -> DataFrame:
+    return judged(spans, run).filter("drop_reason is null").drop("drop_reason")
 
 
 def dedupe_exact(spans: DataFrame, page=PAGE) -> DataFrame:
