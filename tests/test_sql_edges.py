@@ -52,6 +52,7 @@ def against_sql(spark, folder, name):
         "pii_spans",
         "page_secrets",
         "hits_by_category",
+        "hits_by_pattern",
     ],
 )
 def test_query(spark, odd, name):
