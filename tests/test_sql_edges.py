@@ -59,6 +59,7 @@ def against_sql(spark, folder, name):
         "merged_spans",
         "nonoverlap_selection",
         "placeholder_mapping",
+        "anonymized_text",
     ],
 )
 def test_query(spark, odd, name):
