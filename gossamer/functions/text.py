@@ -22,6 +22,9 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 #: Full-width forms and the characters they stand for.
 WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+#: Letters in lower case that Java takes for another one's (ı for i, ſ for s), and private characters to tell them apart by.
+OWN_CASE = "".join(c for c in map(chr, range(0x80, 0xD800)) if len(c.upper()) == 1 and c == c.lower() != c.upper().lower())
+PRIVATE = "".join(map(chr, range(0x10F000, 0x10F000 + len(OWN_CASE))))
 #: Elements that a fold appends to one array, before it begins another: appending copies the array.
 BLOCK = 256
 

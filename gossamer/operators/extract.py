@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import NARROW, WIDE, fold, hits, let, quoted, starts_between
+from ..functions.text import NARROW, OWN_CASE, PRIVATE, WIDE, fold, hits, let, quoted, starts_between
 
 SPAN_COLUMNS = ("doc_id", "ord", "pattern", "category", "text", "start", "end", "confidence", "source")
 
@@ -120,9 +120,10 @@ def _pairs(looked: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(by_first.unionByName(by_second), "_key").filter(F.when(F.col("_turn") == 1, holds).otherwise(also & ~holds)).drop("_key", "_turn")
 
 
-def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = (), spellings: bool = True) -> DataFrame:
     """Places of the user's literals: as written but for case; only if there are none, without diacritics, width and spelling of streets; only if still none, letters and digits alone.
 
+    Without ``spellings`` only as written but for case, a letter's case being what lower-casing makes equal.
     Few literals are compared with every text, more meet texts by their first three
     letters or digits; in both cases only texts that hold the compacted literal go on.
     """
@@ -141,7 +142,9 @@ def literal_spans(docs: DataFrame, customs: DataFrame, keep: tuple[str, ...] = (
     found = lambda places: F.filter(places, lambda h: h["e"] > h["s"])
     one = found(hits(F.col("text"), F.concat(F.lit("(?iu)"), quoted(F.col("needle")))))
     two, three = found(mapped(spaced, F.col("plain"))), F.when(F.col("second") != "", found(mapped(bare, F.col("second"))))
-    first = let(one, lambda a: F.when(F.size(a) > 0, a).otherwise(let(two, lambda b: F.when(F.size(b) > 0, b).otherwise(three))))
+    lowered = lambda x: F.translate(x, OWN_CASE, PRIVATE)
+    alike = found(hits(lowered(F.col("text")), F.concat(F.lit("(?iu)"), quoted(lowered(F.col("needle"))))))
+    first = alike if not spellings else let(one, lambda a: F.when(F.size(a) > 0, a).otherwise(let(two, lambda b: F.when(F.size(b) > 0, b).otherwise(three))))
     places = pair.select("doc_id", *keep, "category", "text", F.explode(first).alias("r"))
     return places.select(
         "doc_id",

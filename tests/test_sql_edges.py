@@ -85,3 +85,16 @@ def test_letters_of_an_expression(spark, regex):
 def test_the_operator_keeps_unicode(spark):
     docs = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     assert extract.pattern_spans(docs).filter("pattern = 'mrz'").isEmpty()
+
+
+SPELT = ["mit.\nLicense", "MIT  License", "Mit License, MIT LICENSE", "M\u0130T License", "M\u0131T License", "MIT Licen\u017fe", "cc bync", "CC BY-NC cc by-nc", "general\u00a0public", "GENERAL PUBLIC GeneralPublic", "", None]
+
+
+def test_literals_as_written(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(SPELT)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    run = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    expected = con.execute(f"SELECT doc_id, text, span_start, span_end FROM ({catalog.ORACLES['custom_literal_spans']})").fetchall()
+    assert run("custom_literal_spans") == sorted(expected) and len(expected) == 6
+    assert {0, 1, 6, 8} <= {r[0] for r in run("custom_literal_spans_everything")}
