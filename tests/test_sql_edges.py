@@ -98,3 +98,18 @@ def test_literals_as_written(spark, tmp_path):
     expected = con.execute(f"SELECT doc_id, text, span_start, span_end FROM ({catalog.ORACLES['custom_literal_spans']})").fetchall()
     assert run("custom_literal_spans") == sorted(expected) and len(expected) == 6
     assert {0, 1, 6, 8} <= {r[0] for r in run("custom_literal_spans_everything")}
+
+
+def given(spark, folder, rows):
+    """Documents of these (doc_id, text), and beside them no other table."""
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return lambda name, columns: (sorted(map(tuple, catalog.QUERIES[name](spark, folder).select(*columns).collect()), key=str), sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall(), key=str))
+
+
+def test_findings_of_one_place(spark, tmp_path):
+    """Two texts of one id have findings at the same place, and one's text begins with the other's."""
+    run = given(spark, str(tmp_path), [(1, "+49301234  x"), (1, "+49301234 5x"), (2, "+49301234  x")])
+    got, expected = run("diagnostics_report", ["doc_id", "report"])
+    assert got == expected and len(got) == 2 and got[0][1].count("\n") == 1
