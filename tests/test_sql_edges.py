@@ -117,6 +117,6 @@ def test_findings_of_one_place(spark, tmp_path):
 
 def test_texts_without_id(spark, tmp_path):
     run = given(spark, str(tmp_path), [(1, "Frau Vera Holm, a@b.de"), (None, "c@d.de 10.0.0.1"), (None, "x")])
-    for name, columns in (("nonoverlap_selection", ["doc_id", "category", "text", "span_start", "span_end"]),):
+    for name, columns in (("nonoverlap_selection", ["doc_id", "category", "text", "span_start", "span_end"]), ("placeholder_mapping", ["doc_id", "placeholder", "original"])):
         got, expected = run(name, columns)
         assert got == expected and len(got) == 2, name
