@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, let
+from ..functions.text import fold, let, running_sums
 from . import extract, layout, spans as algebra
 
 # A category's placeholder name.
@@ -58,8 +58,18 @@ def placeholder_mapping(selected: DataFrame, page=("doc_id",)) -> DataFrame:
     return numbered.groupBy(*page, "placeholder").agg(F.max_by("text", F.struct("start", "end")).alias("original"))
 
 
-def anonymize(docs: DataFrame, selected: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) with anonymized_text, replacement_count and the map placeholders."""
+def places_after(text: Column, found: Column) -> Column:
+    """Where ``substitute`` has put the placeholders: array<struct(start, end, placeholder)> of the new text."""
+
+    def moved(inside: Column) -> Column:
+        before = running_sums(F.transform(inside, lambda s: F.length(s["placeholder"]) - (s["end"] - s["start"])))
+        return F.zip_with(inside, before, lambda s, n: F.struct((s["start"] + n).alias("start"), (s["start"] + n + F.length(s["placeholder"])).alias("end"), s["placeholder"].alias("placeholder")))
+
+    return let(F.filter(found, lambda s: s["end"] <= F.length(text)), moved)
+
+
+def anonymize(docs: DataFrame, selected: DataFrame, places: bool = False) -> DataFrame:
+    """Rows of docs (doc_id, text) with anonymized_text, replacement_count and the map placeholders, on demand also the ``places`` of these."""
     numbered = number_placeholders(selected)
     lists = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder", "text"))).alias("_s"), F.count("*").alias("replacement_count"))
     joined = docs.join(lists, "doc_id", "left")
@@ -68,7 +78,10 @@ def anonymize(docs: DataFrame, selected: DataFrame) -> DataFrame:
     originals = F.map_from_entries(F.transform(last, lambda x: F.struct(x["placeholder"].alias("key"), x["text"].alias("value"))))
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     put = F.when(F.col("_s").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.col("_s")))
-    return joined.withColumns({"anonymized_text": put, "replacement_count": F.coalesce("replacement_count", F.lit(0)).cast("long"), "placeholders": F.coalesce(originals, nothing)}).drop("_s")
+    out = {"anonymized_text": put, "replacement_count": F.coalesce("replacement_count", F.lit(0)).cast("long"), "placeholders": F.coalesce(originals, nothing)}
+    if places:
+        out["places"] = F.coalesce(places_after(F.col("text"), F.col("_s")), F.array().cast("array<struct<start:int,end:int,placeholder:string>>"))
+    return joined.withColumns(out).drop("_s")
 
 
 def detect(docs: DataFrame, customs: DataFrame | None = None, model_spans: DataFrame | None = None, rows=None) -> DataFrame:
@@ -136,6 +149,18 @@ def restore(text: Column, placeholders: Column) -> Column:
     return F.get(F.transform(F.array(done), lambda d: F.struct(d["text"].alias("restored_text"), d["n"].alias("replacement_count"), left(d["text"]).alias("unresolved"))), F.lit(0))
 
 
+def restore_places(text: Column, places: Column, placeholders: Column) -> Column:
+    """struct(restored_text, replacement_count, unresolved) of an anonymised text as it was made: originals are put back at its ``places``.
+
+    A text's own words that look like a placeholder, which ``restore`` would take for one, stay. Unresolved are
+    placeholders that no longer stand in their place.
+    """
+    stands = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]) == s["placeholder"]
+    back = lambda held: F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(placeholders, s["placeholder"]).alias("placeholder")))
+    gone = F.array_sort(F.array_distinct(F.transform(F.filter(places, lambda s: ~stands(s)), lambda s: s["placeholder"])))
+    return let(F.filter(places, stands), lambda held: F.struct(substitute(text, back(held)).alias("restored_text"), F.size(held).alias("replacement_count"), gone.alias("unresolved")))
+
+
 #: Fixed value: what looks like a placeholder.
 TOKEN = r"(?i)\[?\s*[A-ZÄÖÜa-zäöü]+\s*[-_ ]\s*\d+\s*\]?"
 

@@ -2,10 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gossamer.functions import patterns as P
 from gossamer.functions import predicates as is_
-from gossamer.operators import extract
+from gossamer.operators import anonymize, extract
 from gossamer.plans import catalog
 
 #: Accents, other digits, blanks that don't break, vertical tabs, long s, Kelvin's sign and capital ß beside what is found.
@@ -120,3 +121,23 @@ def test_texts_without_id(spark, tmp_path):
     for name, columns in (("nonoverlap_selection", ["doc_id", "category", "text", "span_start", "span_end"]), ("placeholder_mapping", ["doc_id", "placeholder", "original"])):
         got, expected = run(name, columns)
         assert got == expected and len(got) == 2, name
+
+
+#: Words that look like placeholders which the text has too: before, after and beside these, and where one is put back.
+ALIKE = [
+    "NUMMER 1 and 4111 1111 1111 1111 and geheim-1, 10.0.0.1",
+    "Telefon 11 2222 3333 4444 5555 6666 7777, +49 30 1234567; Telefon",
+    "[EMAIL_1] a@b.de [email_1]2 and [EMAIL_2] c@d.de, a@b.de",
+    "Frau Vera Holm, name 1. Frau Vera Holm \U0001f600 $1 \\1 a@b.de email_1",
+]
+
+
+def test_words_like_placeholders(spark, tmp_path):
+    run = given(spark, str(tmp_path), [*enumerate(ALIKE), (9, "plain"), (10, None)])
+    got, expected = run("restore_roundtrip", ["doc_id", "restored_text", "replacement_count", "unresolved"])
+    assert got == expected and [r[1] for r in got] == ALIKE
+
+
+def test_restored_by_place(spark):
+    row = spark.createDataFrame([("x [NAME_1] [NAME_1", [(2, 10, "[NAME_1]"), (11, 19, "[NAME_1]")], {"[NAME_1]": "Vera $1"})], "t string, p array<struct<start:int,end:int,placeholder:string>>, m map<string,string>")
+    assert tuple(row.select(anonymize.restore_places(F.col("t"), F.col("p"), F.col("m")).alias("r")).first().r) == ("x Vera $1 [NAME_1", 1, ["[NAME_1]"])
