@@ -1,7 +1,8 @@
 """Algebra of spans: clean, drop, recategorise, deduplicate, merge, contain, select.
 
 Spans are rows (doc_id, ord, category, text, start, end, confidence, source) and
-perhaps page_index and pattern; ord is the order of arrival, which ties go by.
+perhaps page_index and pattern; ord is the order of arrival, which ties go by. Where texts
+share a page, spans may have a column ``arrival``, their text's place, for those of one ord.
 """
 
 from __future__ import annotations
@@ -54,10 +55,14 @@ def sanitize(spans: DataFrame, run=is_.as_is) -> DataFrame:
     return judged(spans, run).filter("drop_reason is null").drop("drop_reason")
 
 
+def _order(spans: DataFrame) -> list[str]:
+    return [c for c in ("ord", "arrival") if c in spans.columns]
+
+
 def dedupe_exact(spans: DataFrame, page=PAGE) -> DataFrame:
     """Of spans alike in category, source, place and folded text the most confident stays, at the place of the first."""
     key = W.partitionBy(*page, "category", "source", "start", "end", fold(F.col("text")))
-    best = F.row_number().over(key.orderBy(F.desc("confidence"), "ord"))
+    best = F.row_number().over(key.orderBy(F.desc("confidence"), *_order(spans)))
     return spans.withColumns({"_best": best, "_first": F.min("ord").over(key)}).filter("_best = 1").withColumn("ord", F.col("_first")).drop("_best", "_first")
 
 
@@ -125,6 +130,7 @@ def select_disjoint(found: Column) -> Column:
 def non_overlapping(spans: DataFrame, page=PAGE) -> DataFrame:
     """Rows of the disjoint selection; the spans of one page meet in one row."""
     columns = [c for c in spans.columns if c not in page]
-    put = F.struct("start", "end", "confidence", "ord", *[c for c in columns if c not in ("start", "end", "confidence", "ord")])
+    first = ["start", "end", "confidence", *_order(spans)]
+    put = F.struct(*first, *[c for c in columns if c not in first])
     lists = spans.groupBy(*page).agg(F.collect_list(put).alias("_s")).select(*page, F.explode(select_disjoint(F.col("_s"))).alias("_x"))
     return lists.select(*page, *[F.col(f"_x.{c}").alias(c) for c in columns]).select(spans.columns)

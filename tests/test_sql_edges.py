@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gossamer import session
 from gossamer.functions import patterns as P
 from gossamer.functions import predicates as is_
 from gossamer.operators import anonymize, extract
@@ -141,3 +142,14 @@ def test_words_like_placeholders(spark, tmp_path):
 def test_restored_by_place(spark):
     row = spark.createDataFrame([("x [NAME_1] [NAME_1", [(2, 10, "[NAME_1]"), (11, 19, "[NAME_1]")], {"[NAME_1]": "Vera $1"})], "t string, p array<struct<start:int,end:int,placeholder:string>>, m map<string,string>")
     assert tuple(row.select(anonymize.restore_places(F.col("t"), F.col("p"), F.col("m")).alias("r")).first().r) == ("x Vera $1 [NAME_1", 1, ["[NAME_1]"])
+
+
+def test_texts_of_one_id_that_differ_in_case(spark, tmp_path, monkeypatch):
+    """Of findings alike but for case SQL takes that of the first text, however Spark deals the rows out."""
+    monkeypatch.setattr(session, "PIECE", 1 << 10)
+    texts = [f"m{i}.x@b.de, 00:1a:2b:3c:4d:{i % 90 + 10}" for i in range(300)]
+    rows = [(i, t.upper() if (i + turn) % 2 else t) for turn in range(2) for i, t in enumerate(texts)]
+    run = given(spark, str(tmp_path), rows)
+    got, expected = run("placeholder_mapping", ["doc_id", "placeholder", "original"])
+    first = dict(reversed(rows))
+    assert got == expected and len(got) == 600 and all(original in first[i] for i, _, original in got)
